@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import byte_bpe, packing, term_counts
+from glyphmill.llm import byte_bpe, mojibake, packing, term_counts
 from glyphmill.sources.tables import table
 
 
@@ -33,4 +33,21 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p3_counts": p3_counts, "p3_found": p3_found, "p6_ids": p6_ids, "p7_pack": p7_pack}
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The affected documents, repaired where they can be, and what was undone."""
+    docs = mojibake.find_damage(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.filter("affected").select("doc_id", "restored", "steps")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mojibake.find_damage(table(spark, folder, "documents").select("doc_id", "text")).filter("affected").select("doc_id")
+
+
+QUERIES = {
+    "p3_counts": p3_counts,
+    "p3_found": p3_found,
+    "p6_ids": p6_ids,
+    "p7_pack": p7_pack,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
+}
