@@ -29,7 +29,7 @@ ROUNDS = 3
 #: A span of Chinese characters counts as UTF-8 read in GBK from this many bytes on: shorter well-formed spans arise by chance.
 MIN_GBK_BYTES = 12
 
-_NONE = "￾"  # stands for a character without a byte
+_NONE = "\ufffe"  # stands for a character without a byte
 
 #: The automaton of UTF-8 on text whose characters are bytes: well-formed sequences of two to four bytes.
 _UTF8 = re.compile(
@@ -156,7 +156,7 @@ def _gbk_spans(text: str) -> list[tuple[int, int, str]]:
         data, ends = bytearray(), []
         for c in run:
             try:
-                data += c.encode("gb18030") if c != "�" else b"\xff"
+                data += c.encode("gb18030") if c != "\ufffd" else b"\xff"
             except UnicodeEncodeError:
                 data += b"\xff"
             ends.append(len(data))
@@ -277,7 +277,7 @@ def _western_in_cyrillic(text: str) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             for c in _CYR.finditer(text, m.start(), m.end()):
                 back = [_BACK.get(b) if isinstance(b := to_byte[ord(x)], int) else None for x in c.group()]
-                if None in back or "�" in back:
+                if None in back or "\ufffd" in back:
                     continue
                 if pattern is _MIXED and not all(x.isalpha() for x in back):
                     continue
@@ -343,7 +343,7 @@ def restore(text: str | None) -> tuple[bool, str | None, list[str]]:
             break
         text = _apply(text, best)
         steps.append(best_name)
-    if "�" in text:
+    if "\ufffd" in text:
         steps.append("bytes lost")
     return bool(steps), text, steps
 

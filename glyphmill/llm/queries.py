@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import byte_bpe, mojibake, packing, term_counts
+from glyphmill.lineage import cut
+from glyphmill.llm import byte_bpe, lookalikes, mojibake, packing, term_counts
 from glyphmill.sources.tables import table
 
 
+def _changed(spark: SparkSession, folder: str) -> DataFrame:
+    tables = [table(spark, folder, n) for n in ("words", "books", "lexicon")]
+    return lookalikes.changed_words(*tables)
+
+
+def p2_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that are not in their consistent form, and that form."""
+    return _changed(spark, folder).select("page_id", "line_id", "word_id", "word_str", "form")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    changed = cut(_changed(spark, folder))
+    words = changed.select("page_id", "line_id", "word_id", F.lit(-1).alias("char_id"))
+    return words.unionByName(lookalikes.changed_chars(changed, table(spark, folder, "chars")))
+
+
 def _term_tables(spark: SparkSession, folder: str) -> DataFrame:
     chars = term_counts.term_counts(table(spark, folder, "chars"), "page_id", "char_str", ["line_id", "word_id", "char_id"])
     letters = term_counts.term_counts(table(spark, folder, "letters"), "sample_id", "letter", ["letter_no"])
@@ -44,6 +61,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_words": p2_words,
     "p3_counts": p3_counts,
     "p3_found": p3_found,
     "p6_ids": p6_ids,

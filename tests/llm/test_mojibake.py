@@ -52,7 +52,7 @@ def test_double_damage_and_parts():
 def test_western_in_cyrillic_and_lost_bytes():
     assert restore(damage("la contraseña según el catálogo", "cp1252", "cp1251"))[:2] == (True, "la contraseña según el catálogo")
     assert restore("costs 64Ђ – note")[1] == "costs 64€ – note"
-    affected, _, steps = restore("� la fiche �185, le th��tre")
+    affected, _, steps = restore("\ufffd la fiche \ufffd185, le th\ufffd\ufffdtre")
     assert affected and steps == ["bytes lost"]
     assert restore(CHINESE.encode("utf-8").decode("gb18030", "replace"))[0]
 
@@ -60,7 +60,7 @@ def test_western_in_cyrillic_and_lost_bytes():
 @pytest.mark.parametrize("text", [
     GERMAN, FRENCH, RUSSIAN, CHINESE, ENGLISH, "« Â »", "« Â »", "Ð and þ are rare labels", "ÇAĞRI ŞEKLİ", "SÃO MARTIM DO LAGO", "Łódka Źdźbło",
     "Ñandú Ï", "µm ± 3 §4", "├── part\n└── end", "╔═══╗", "▓▒░", "│ a │ b │", "26ö 29° Ærø Ødby", "smörgås naïve crème", "Дунмар’s note – Остлом",
-    "DECLARAÇÃO DE VOCÊ", "59½ ×3 10¥", "« В » и «С»…", "ГЛАВА ПЕРВАЯ", "читательaaaaaa", "👩‍🏫 📄🔍", "café””", "Maŋrdun Dťunbri", "ÎLE D'HIVER", "Человек час удар раб так",
+    "DECLARAÇÃO DE VOCÊ", "59½ ×3 10¥", "« В » и «С»…", "ГЛАВА ПЕРВАЯ", "читательaaaaaa", "👩\u200d🏫 📄🔍", "café””", "Maŋrdun Dťunbri", "ÎLE D'HIVER", "Человек час удар раб так",
 ])
 def test_genuine_texts_are_no_cases(text):
     assert restore(text) == (False, text, [])
