@@ -76,7 +76,7 @@ def test_written_rows_are_read_back(fields):
     assert WORD_GRAMMAR.one(out.getvalue()).fields == fields
 
 
-JSON_BAD = ["", " ", "{", "[1,]", '{"a":1,}', "{'a':1}", '{"a" 1}', "01", "1.", "+1", "NaN", "1 2", '"\x01"', '"\\x"', "[1}", "{1:2}", "﻿1", "tru", "]", ",", '{"a":}', "[,1]"]
+JSON_BAD = ["", " ", "{", "[1,]", '{"a":1,}', "{'a':1}", '{"a" 1}', "01", "1.", "+1", "NaN", "1 2", '"\x01"', '"\\x"', "[1}", "{1:2}", "\ufeff1", "tru", "]", ",", '{"a":}', "[,1]"]
 JSON_GOOD = ["0", "-0", "1e5", "[]", "{}", ' {"a": [1, {"b": null}], "c": "\\u00e9\\n"} ', '"\\ud800"', "[[[]]]", "true"]
 
 
