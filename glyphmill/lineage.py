@@ -29,3 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def python_partitions(df: DataFrame) -> int:
+    """Partitions for a shuffle before a Python stage.
+
+    The session's number of shuffle partitions, stated so that adaptive execution
+    does not merge partitions that are small in bytes but slow in Python.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
