@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.lineage import cut
-from glyphmill.llm import byte_bpe, lookalikes, mojibake, packing, term_counts
+from glyphmill.llm import byte_bpe, lookalikes, mojibake, packing, scanned_pages, term_counts
 from glyphmill.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scanned_pages.find_noise(*[table(spark, folder, n) for n in ("text_lines", "scan_pages", "books", "lexicon")])
+
+
 def _changed(spark: SparkSession, folder: str) -> DataFrame:
     tables = [table(spark, folder, n) for n in ("words", "books", "lexicon")]
     return lookalikes.changed_words(*tables)
@@ -61,6 +65,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_words": p2_words,
     "p3_counts": p3_counts,

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.lineage import cut
+from glyphmill.lineage import cut, python_partitions
 
 #: A task hands on its counters when it holds this many terms; only those of the open record stay.
 MAX_TERMS = 1_000_000
@@ -136,7 +136,7 @@ def term_counts(df: DataFrame, record: str, term: str, keys: list[str], max_term
     keys = [k for k in keys if k not in (record, term)]
     rows = df.select(F.col(record).cast("string").alias("record"), F.col(term).cast("string").alias("term"), *[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)])
     order = ["record", *[f"key{i}" for i in range(len(keys))]]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(python_partitions(rows), *order).sortWithinPartitions(*order)
 
     def run(batches):
         counters = LastSeen(max_terms)
