@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glyphmill.plans import records
+from glyphmill.plans import records, text_queries
 
-_MODULES = [records]
+_MODULES = [records, text_queries]
 
 
 def queries() -> dict:
