@@ -153,6 +153,10 @@ def _gbk_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _WIDE_RUN.finditer(text):
         start, run = m.start(), m.group()
+        # most runs hold no span at all: look at the run as a whole first
+        whole = run.replace("\ufffd", "\x7f").encode("gb18030", "replace").decode("latin-1")
+        if not any(s.end() - s.start() >= MIN_GBK_BYTES or len(run) <= 4 for s in _UTF8.finditer(whole)):
+            continue
         data, ends = bytearray(), []
         for c in run:
             try:
@@ -265,12 +269,17 @@ def _high_runs(text: str) -> list[tuple[int, int, str]]:
 
 _MIXED = re.compile("[A-Za-zÀ-ÿ]*[A-Za-z][А-яЁёЂ-џҐґ]{1,2}(?=[A-Za-z]|\\b)|\\b[А-яЁёЂ-џҐґ]{1,2}[A-Za-z]{2,}")
 _SIGN = re.compile("(?<![А-яЁёЂ-џ])[ЂЈҐўЎЅЄЯ](?=[0-9]{1,6}(?![0-9А-яЁё]))|(?<=[0-9])[ЂЅ](?![А-яЁё0-9])|(?<![А-яЁё])ї(?=[A-Z])")
+_MIXED_OR_SIGN = re.compile("[A-Za-z][А-яЁёЂ-џҐґ]|[А-яЁёЂ-џҐґ][A-Za-z]|[ЂЈҐўЎЅЄЯ][0-9]|[0-9][ЂЅ]|ї[A-Z]")
+#: Text in the other of two Cyrillic sets has capitals within words, or letters that Russian lacks.
+_ODD_CYRILLIC = re.compile("[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[Ѐ-ЏѐђѓєѕіїјљњћќўџҐґѢ-ӿ]")
 _CYR = re.compile("[Ѐ-ӿ]+")
 _BACK = {b: bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0x100)}
 
 
 def _western_in_cyrillic(text: str) -> list[tuple[int, int, str]]:
     """Accented letters and signs of Western text that were read in cp1251: Cyrillic inside Latin words."""
+    if not _MIXED_OR_SIGN.search(text):
+        return []
     to_byte = _TABLES["cp1251"]
     out = []
     for pattern in (_MIXED, _SIGN):
@@ -287,6 +296,8 @@ def _western_in_cyrillic(text: str) -> list[tuple[int, int, str]]:
 
 def _swapped_cyrillic(text: str) -> list[tuple[int, int, str]]:
     """Cyrillic runs that are Russian only when read in the other of two Cyrillic sets."""
+    if not _ODD_CYRILLIC.search(text):
+        return []
     words = [m for m in re.finditer("[Ѐ-ӿ]+", text)]
     odd = [m for m in words if len(m.group()) >= 3 and _russian(m.group()) > 0.85]
     if not odd:
