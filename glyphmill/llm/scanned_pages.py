@@ -31,8 +31,10 @@ from glyphmill.llm import misreadings
 from glyphmill.llm.boosting import Booster
 from glyphmill.llm.lookalikes import Consistent, bare, read_lexicon
 
-#: Lines of whole volumes from which the furniture classifier is fitted, besides made-up pages.
+#: Lines from which the furniture classifier is fitted, besides made-up pages: the
+#: first pages of volumes picked by hash, so that about as many lines come to the driver.
 TRAIN_LINES = 20_000
+TRAIN_PAGES = 60
 MADE_PAGES = 400
 #: A gap of this many line heights sets a line off from the body.
 _CLEAR = 2.0
@@ -132,16 +134,23 @@ def _made_pages(rng: random.Random, n: int) -> tuple[list[list[float]], list[flo
     return x, y
 
 
-def train_furniture(ordered: DataFrame, bound: int = TRAIN_LINES) -> Booster:
-    """Fitted on made-up pages and on at most ``bound`` lines of whole volumes.
+def training_lines(ordered: DataFrame, count: int, bound: int = TRAIN_LINES) -> DataFrame:
+    """At most ``bound`` of ``count`` lines: the first TRAIN_PAGES pages of every k-th volume by hash, in order."""
+    volume = F.xxhash64("book_id", "volume_no")
+    rows = ordered.filter(F.coalesce("page_seq", F.lit(0)) < TRAIN_PAGES)
+    rows = rows.filter(F.pmod(volume, F.lit(max(1, count // bound))) == 0)
+    return rows.orderBy("book_id", "volume_no", "page_seq", "page_id", "line_id").limit(bound)
+
+
+def train_furniture(ordered: DataFrame, count: int, bound: int = TRAIN_LINES) -> Booster:
+    """Fitted on made-up pages and on the lines of :func:`training_lines`.
 
     Of the sample, outer lines that stand clear of the body are furniture, lines
     that do not are running text, and outer lines that recur but do not stand
     clear are left out.
     """
     x, y = _made_pages(random.Random(7), MADE_PAGES)
-    by = F.xxhash64("book_id", "volume_no")
-    sample = ordered.withColumn("_by", by).orderBy("_by", "book_id", "volume_no", "page_seq", "page_id", "line_id").limit(bound).drop("_by").toPandas()
+    sample = training_lines(ordered, count, bound).toPandas()
     rows = [r for r in sample.astype(object).where(sample.notna(), None).to_dict("records")]
     view = LineView()
     for i, row in enumerate(rows):
@@ -247,14 +256,16 @@ def _tokens(text: str, known: set[str], lang: str | None, skip_first: bool, skip
     return sorted(set(out))
 
 
-def read_lines(ordered: DataFrame, lexicon: DataFrame, bound: int = TRAIN_LINES) -> DataFrame:
+def read_lines(ordered: DataFrame, lexicon: DataFrame, count: int, bound: int = TRAIN_LINES) -> DataFrame:
     """One row for each line: its plain text, what it is, whether its last word is broken, and words in doubt.
 
+    ``count`` is the number of lines, from which the training sample is bounded.
+
     ``edge`` is 1 for the first and 2 for the last line of running text of a
     partition (3 for both), whose pairs :func:`edge_pairs` judges.
     """
     words = read_lexicon(lexicon)
-    furniture = train_furniture(ordered, bound)
+    furniture = train_furniture(ordered, count, bound)
     shared = ordered.sparkSession.sparkContext.broadcast((words, furniture))
 
     def run(batches):
@@ -403,7 +414,7 @@ def corrections(doubtful: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def find_noise(text_lines: DataFrame, scan_pages: DataFrame, books: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Rows (page_id, line_id, kind), kind being furniture, broken or misread."""
-    lines = cut(read_lines(lines_in_order(text_lines, scan_pages, books), lexicon))
+    lines = cut(read_lines(lines_in_order(text_lines, scan_pages, books), lexicon, text_lines.count()))
     edges = edge_pairs(lines, lexicon)
     doubtful = doubtful_tokens(lines, edges)
     misread = doubtful.join(corrections(doubtful, lexicon), ["lang", "token"], "left_semi").select("page_id", "line_id").distinct()
