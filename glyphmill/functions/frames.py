@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def frames(matrix: Column, labels: int) -> Column:
-    """A flat row-major matrix as an array of frames of ``labels`` scores."""
+    """A flat row-major matrix as an array of frames of ``labels`` scores; null for a null matrix."""
     count = (F.size(matrix) / labels).cast("int")
     at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda t: F.slice(matrix, t * labels + 1, labels))
+    return F.when(matrix.isNotNull(), F.transform(at, lambda t: F.slice(matrix, t * labels + 1, labels)))
 
 
 def arg_max(scores: Column) -> Column:
