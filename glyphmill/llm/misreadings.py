@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.boosting import Booster
-from glyphmill.llm.lookalikes import bare
 
 Q = 2
 #: Damaged words made for training, of each lexicon word.
@@ -31,7 +30,7 @@ ACCEPT = 0.6
 # What recognisers take for one another, in groups written "right>wrong wrong ...".
 _CONFUSED = """
 a>o @ e|b>6 h|c>e o|d>cl|e>c 6 o|f>t|g>9 q|h>b n|i>l 1 ! j|l>1 i | I|m>rn nn|n>u r|o>0 c a|p>q|q>g|r>t f|s>5 $|t>f + l|u>n v ii|v>y u|w>vv|x>%|y>v|z>2
-in>m|ch>dr|rn>m|ri>n|nn>m|ß>fs B 8|k>h lc|é>6 e ó|è>e 6|ê>e|ë>e|à>a|â>a|ç>c|ô>o|ö>o 6|ü>u ii|ä>a|ù>u|û>u|ñ>n|í>i|á>a|ó>o 6|ú>u
+in>m|ve>w|ch>dr|rn>m|ri>n|nn>m|ß>fs B 8|k>h lc|é>6 e ó|è>e 6|ê>e|ë>e|à>a|â>a|ç>c|ô>o|ö>o 6|ü>u ii|ä>a|ù>u|û>u|ñ>n|í>i|á>a|ó>o 6|ú>u
 а>о @|б>6|в>8|г>т|д>л|е>с 6|ж>х|з>3|и>н п|й>и|к>н х|л>п|м>н ы|н>п и|о>0 с|п>н л|р>п|с>е о|т>г|у>ч|х>ж|ц>и|ч>4|ш>щ|щ>ш|ы>ь1 ьi|ь>6|э>з|ю>о|я>л|ё>е|л>д|ч>у
 """
 
@@ -42,12 +41,22 @@ def _confusions() -> dict[str, set[str]]:
         right, wrong = group.split(">", 1)
         for w in wrong.split(" "):
             if w:
-                out.setdefault(right, set()).add(w.casefold())
+                out.setdefault(right, set()).add(w.lower())
                 if len(right) == 1 and len(w) == 1 and w.isalpha():
-                    out.setdefault(w.casefold(), set()).add(right)
+                    out.setdefault(w.lower(), set()).add(right)
     return out
 
 
+def plain(word: str) -> str:
+    """A word in lower case without what is around its letters and digits (bare() folds ß, which is read letter by letter here)."""
+    start, end = 0, len(word)
+    while start < end and not word[start].isalnum():
+        start += 1
+    while end > start and not word[end - 1].isalnum():
+        end -= 1
+    return word[start:end].lower()
+
+
 CONFUSED = _confusions()
 _LOW_COST = 0.3
 
@@ -136,7 +145,7 @@ def train_ranker(lexicon: list[tuple[str, str]], copies: int = TRAIN_COPIES, bou
     rng = random.Random(11)
     by_lang: dict[str, list[str]] = {}
     for word, lang in lexicon:
-        by_lang.setdefault(lang, []).append(bare(word))
+        by_lang.setdefault(lang, []).append(plain(word))
     x, y = [], []
     for lang in sorted(by_lang):
         words = sorted({w for w in by_lang[lang] if w and w.isascii() | (w[0].isalpha())})

@@ -14,6 +14,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return scanned_pages.find_noise(*[table(spark, folder, n) for n in ("text_lines", "scan_pages", "books", "lexicon")])
 
 
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The running text of each volume as repaired paragraphs."""
+    return scanned_pages.paragraphs(*[table(spark, folder, n) for n in ("text_lines", "scan_pages", "books", "lexicon")])
+
+
 def _changed(spark: SparkSession, folder: str) -> DataFrame:
     tables = [table(spark, folder, n) for n in ("words", "books", "lexicon")]
     return lookalikes.changed_words(*tables)
@@ -66,6 +71,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_paragraphs": p1_paragraphs,
     "p2_found": p2_found,
     "p2_words": p2_words,
     "p3_counts": p3_counts,

@@ -45,7 +45,8 @@ REMEMBERED = 12
 
 _SIGNS = "-‐‑–—¬=~_"
 _AROUND = " \t.,;:()[]{}\"'«»„“”‘’…*?¿¡" + _SIGNS
-_CODE = re.compile(r"[\W\d_]*|[§£€¥¢¶†‡‰Ωß]?[^\W\d_]{0,4}-?\d+(?:[./,\-]\d+)*[^\W\d_]?|[lIOoSsBbZgq\d.,/]*\d[lIOoSsBbZgq\d.,/]*")
+# numbers, also with letters that look like digits; signs with a number; capitals with a number and perhaps a small letter
+_CODE = re.compile(r"[\W\d_]*|[§£€¥¢¶†‡‰Ωß]\d+|[A-Z]{1,4}-?\d+(?:[./,\-]\d+)*[a-z]?|[lIOoSsBbZgq\d.,/]*\d[lIOoSsBbZgq\d.,/]*")
 _ROMAN = re.compile(r"\b[ivxlc]+\b")
 
 LINE_COLUMNS = ["page_id", "line_id", "box_left", "box_top", "wid", "hei", "img_w", "img_h", "line_str", "book_id", "volume_no", "page_seq", "lang"]
@@ -249,8 +250,8 @@ def _tokens(text: str, known: set[str], lang: str | None, skip_first: bool, skip
         words = words[1:]
     out = []
     for w in words:
-        token = w.strip(_AROUND).casefold()
-        if not token or bare(w) in known or token in known or _CODE.fullmatch(w.strip(_AROUND)):
+        token = w.strip(_AROUND).lower()
+        if not token or bare(w) in known or token.casefold() in known or _CODE.fullmatch(w.strip(_AROUND)):
             continue
         out.append(token)
     return sorted(set(out))
@@ -428,3 +429,96 @@ def find_noise(text_lines: DataFrame, scan_pages: DataFrame, books: DataFrame, l
     for k in kinds[1:]:
         out = out.unionByName(k)
     return out
+
+
+# --- paragraphs ------------------------------------------------------------------------------
+
+
+def _corrected(word: str, fixes: dict[str, str]) -> str:
+    """A word with its misread core replaced, in the case it had."""
+    core = word.strip(_AROUND)
+    right = fixes.get(core.lower())
+    if right is None:
+        return word
+    if core.isupper() and len(core) > 1:
+        right = right.upper()
+    elif core[:1].isupper() or (not core[:1].isalpha() and word[:1] != core[:1] and core[1:2].isupper()):
+        right = right[:1].upper() + right[1:]
+    at = word.find(core)
+    return word[:at] + right + word[at + len(core) :]
+
+
+def joined_lines(lines: list[tuple[str, bool, dict[str, str]]], known: set[str]) -> str:
+    """Lines (text, broken, corrections) as one text: broken words whole, misread ones replaced."""
+    out = ""
+    glue = False
+    for text, broken, fixes in lines:
+        words = [_corrected(w, fixes) for w in text.split()]
+        if not words:
+            continue
+        if broken:
+            while len(words) > 1 and all(c in _SIGNS for c in words[-1]):
+                words.pop()
+        shown = " ".join(words)
+        if glue:
+            last, first = out.rsplit(" ", 1)[-1], words[0]
+            bare_last = last.rstrip(_SIGNS)
+            hyphen = bare(bare_last + first) not in known and bare(f"{bare_last}-{first}") in known
+            out = out[: len(out) - len(last)] + bare_last + ("-" if hyphen else "") + shown
+        else:
+            out = f"{out} {shown}" if out else shown
+        glue = broken
+    return out
+
+
+#: A paragraph that shows no new beginning for so many lines is ended.
+LONGEST_PARAGRAPH = 2000
+
+
+def paragraphs(text_lines: DataFrame, scan_pages: DataFrame, books: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Running text in reading order: (book_id, volume_no, page_id, line_id, n_lines, text) of each paragraph.
+
+    ``page_id`` and ``line_id`` are those of its first line. A paragraph begins at a
+    line that is set in, at a new volume, or after LONGEST_PARAGRAPH lines. Furniture
+    is left out, broken words are joined, misread ones replaced, look-alikes plain.
+    """
+    lines = cut(read_lines(lines_in_order(text_lines, scan_pages, books), lexicon, text_lines.count()))
+    edges = cut(edge_pairs(lines, lexicon))
+    doubtful = doubtful_tokens(lines, edges)
+    fixes = doubtful.join(corrections(doubtful, lexicon), ["lang", "token"])
+    fixes = fixes.groupBy("page_id", "line_id").agg(F.array_sort(F.collect_set(F.struct("token", "word"))).alias("fixes"))
+    cut_off = edges.filter("kind = 'broken'").select("page_id", "line_id", F.lit(True).alias("edge_broken"))
+    rows = lines.filter("NOT furniture AND text <> ''").join(fixes, ["page_id", "line_id"], "left").join(cut_off, ["page_id", "line_id"], "left")
+    rows = rows.withColumn("broken", F.col("broken") | F.coalesce("edge_broken", F.lit(False)))
+    volume = F.struct("book_id", F.coalesce(F.col("volume_no").cast("string"), F.col("page_id")))
+    order = ["book_id", "volume_no", "page_seq", "page_id", "line_id"]
+    # within a partition of the pass, which is as large as a task; the carry from one to the next is a row each
+    w = Window.partitionBy("part").orderBy(*order)
+    before = F.lag(volume).over(w)
+    new = F.col("starts") | (before != volume) | (F.row_number().over(w) % LONGEST_PARAGRAPH == 0)
+    here = F.struct("page_id", "line_id")
+    rows = rows.withColumn("volume", volume).withColumn("new", F.when(F.coalesce(new, F.lit(False)), here))
+    rows = rows.withColumn("para", F.last("new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends_of = rows.groupBy("part").agg(
+        F.min_by(F.struct("volume", here.alias("here")), F.struct(*order)).alias("first"), F.max_by(F.struct("volume", "para"), F.struct(*order)).alias("last")
+    )
+    over_parts = Window.orderBy("part")  # one row for each partition
+    same = F.coalesce(F.lag("last.volume").over(over_parts) == F.col("first.volume"), F.lit(False))
+    ends_of = ends_of.withColumn("own", F.when(~same, F.col("first.here"))).withColumn("latest", F.coalesce("last.para", "own"))
+    carry = F.last("latest", ignorenulls=True).over(over_parts.rowsBetween(Window.unboundedPreceding, -1))
+    ends_of = ends_of.select("part", F.coalesce("own", carry).alias("carry"))
+    rows = rows.join(ends_of, "part").withColumn("para", F.coalesce("para", "carry"))
+    cells = F.array_sort(F.collect_list(F.struct(*order, "text", "broken", "fixes")))
+    grouped = rows.groupBy("book_id", "volume_no", "para").agg(F.count("*").alias("n_lines"), F.transform(cells, lambda c: F.struct(c["text"], c["broken"], c["fixes"])).alias("cells"))
+    grouped = grouped.select("book_id", "volume_no", F.col("para.page_id").alias("page_id"), F.col("para.line_id").alias("line_id"), "n_lines", "cells")
+    known = lexicon.sparkSession.sparkContext.broadcast({bare(x) for x, _ in read_lexicon(lexicon)})
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for cell in batch.column(5).to_pylist():
+                lines_of = [tuple(c.values()) for c in cell]
+                texts.append(joined_lines([(t, b, {e["token"]: e["word"] for e in f or []}) for t, b, f in lines_of], known.value))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(texts, pa.string())], names=["book_id", "volume_no", "page_id", "line_id", "n_lines", "text"])
+
+    return grouped.mapInArrow(run, "book_id int, volume_no long, page_id string, line_id int, n_lines long, text string")

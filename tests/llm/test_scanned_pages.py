@@ -81,3 +81,28 @@ def test_whole_small_tables(spark):
     rows = find_noise(*[spark.read.parquet(f"{SF_SMALL}/{n}.parquet") for n in names]).collect()
     assert len({tuple(r) for r in rows}) == len(rows) and {r.kind for r in rows} == {"furniture", "broken", "misread"}
     assert scanned_pages.REMEMBERED > 0
+
+
+@pytest.mark.parametrize("partitions", ["1", "9"])
+def test_paragraphs_are_whole(spark, tables, partitions):
+    text_lines, scans, books, lexicon, _ = tables
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = scanned_pages.paragraphs(text_lines, scans, books, lexicon).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sorted({r.volume_no for r in rows}) == [0, 1, 2] and len(rows) == 3  # no line is set in: a paragraph for each volume
+    for r in rows:
+        assert r.text.startswith("The ordinary folder confirms the margin of every picture. Marbex and calibration letter with in the folder. The border of the left-hand picture Panost")
+        assert "every with folder B19/18 reading" in r.text and "Handbook" not in r.text and "inspection across the folder. 1944 1944" in r.text
+
+
+def test_paragraph_starts_and_joins(spark, tables):
+    _, scans, books, lexicon, _ = tables
+    schema = "page_id string, book_id int, line_id int, box_left int, box_top int, wid int, hei int, img_w int, img_h int, line_str string"
+    rows = [("v0p0", 1, i, 80 + (40 if i in (0, 2) else 0), 165 + 40 * i, 300, 29, 1654, 2338, t) for i, t in enumerate(["One", "two", "Three", "four"])]
+    got = scanned_pages.paragraphs(spark.createDataFrame(rows, schema), scans, books, lexicon).orderBy("line_id").collect()
+    assert [(r.line_id, r.text) for r in got] == [(0, "One two"), (2, "Three four")]
+    assert scanned_pages.joined_lines([("Tbe mar-", True, {"tbe": "the"}), ("gin - x", False, {})], {"margin"}) == "The margin - x"
+    assert scanned_pages.joined_lines([], set()) == ""
