@@ -48,3 +48,25 @@ def log_add(a: Column, b: Column) -> Column:
     """log(exp a + exp b), with everything at or below -87 standing for log 0."""
     high, low = F.greatest(a, b), F.least(a, b)
     return F.when(high <= -87.0, F.lit(-87.0)).when(low <= -87.0, high).otherwise(high + F.log1p(F.exp(low - high)))
+
+
+def span_from_peak(weights: Column, least: float) -> Column:
+    """struct(first, last): the greatest weight and the positions right of it that stay at or above ``least``."""
+    at = arg_max(weights)
+    after = F.slice(weights, at + 2, F.greatest(F.size(weights) - at - 1, F.lit(0)))
+    low = F.filter(F.transform(after, lambda x, i: F.when(x < least, i)), lambda i: i.isNotNull())
+    return F.struct(at.alias("first"), (at + F.coalesce(F.try_element_at(low, F.lit(1)), F.size(after))).cast("int").alias("last"))
+
+
+def first_of_beams(labels: Column, beam: int) -> Column:
+    """The best label of each frame where every frame has ``beam`` of them in a row."""
+    return F.filter(labels, lambda x, i: i % beam == 0)
+
+
+def likeliest_case(lower: Column, capital: Column, upper: Column) -> Column:
+    """0, 1 or 2 by the greatest sum of log probabilities over a word's letters; of equals the first, -1 without letters."""
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.when(x > 0, F.log(x.cast("double"))).otherwise(-87.0))
+
+    sums = F.array(total(lower), total(capital), total(upper))
+    return F.when(F.size(lower) == 0, -1).otherwise(F.array_position(sums, F.array_max(sums)) - 1).cast("int")

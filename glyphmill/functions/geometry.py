@@ -76,3 +76,27 @@ def tiles(width: Column, size: int, overlap: int) -> Column:
         F.sequence(F.lit(0), last),
         lambda i: F.struct((i * step).cast("int").alias("left"), F.when(i == last, width - i * step).otherwise(F.lit(size)).cast("int").alias("wid")),
     )
+
+
+def small_area(wid, hei, page_w, page_h, scale: int = 1000, side: int = 3) -> Column:
+    """Whether a picture is too small to matter: under a part of the page, or a side under ``side``."""
+    return (wid * hei < page_w * page_h / F.lit(float(scale))) | (wid < side) | (hei < side)
+
+
+def from_column(left, top, wid, hei, image_h) -> Column:
+    """A box found on a column that was turned to be read, turned back: sides swapped, a quarter of the height up, not above 0."""
+    return F.struct(
+        F.greatest(F.lit(0), image_h - top - hei).alias("left"), F.greatest(F.lit(0), (left - 0.25 * wid).cast("int")).alias("top"), hei.alias("wid"), wid.alias("hei")
+    )
+
+
+def to_height(left, top, wid, hei, image_h, height: int = 48) -> Column:
+    """A box of an image that was resized to ``height``, scaled back to the image and cut to it."""
+    ratio = image_h / F.lit(float(height))
+    y = F.least((top * ratio).cast("int"), image_h - 1)
+    return F.struct((left * ratio).cast("int").alias("left"), y.alias("top"), (wid * ratio).cast("int").alias("wid"), F.least((hei * ratio).cast("int"), image_h - y).alias("hei"))
+
+
+def page_crop(left, top, wid, hei, page_w: float = 595.0, page_h: float = 842.0) -> Column:
+    """The scale at which a text area fits a page: that of the tighter side."""
+    return F.least(F.lit(page_w) / wid, F.lit(page_h) / hei)

@@ -350,3 +350,70 @@ def decode_lines(words: DataFrame, candidates: DataFrame, bigrams: DataFrame, we
         return [{"page_id": group[0]["page_id"], "line_id": group[0]["line_id"], "decoded": text, "path": [items[i]["word_id"] for i, _ in path]}]
 
     return map_groups(rows, ["page_id", "line_id"], ["box_left", "word_id"], fn, "page_id string, line_id int, decoded string, path array<int>")
+
+
+def spread(word: str, frames: str, lower: bool = False) -> list[tuple[float, float]]:
+    """Where each character of a word lies among the frames of its string, by alignment with the collapsed frames.
+
+    Unmatched characters share the room between their matched neighbours evenly.
+    """
+    if lower:
+        word, frames = word.lower(), frames.lower()
+    short, first, last = shrink(frames)
+    _, place = align(word, short)
+    out: list[tuple[float, float] | None] = [(float(first[p]), float(last[p])) if p >= 0 else None for p in place]
+    i = 0
+    while i < len(out):
+        if out[i] is not None:
+            i += 1
+            continue
+        j = i
+        while j < len(out) and out[j] is None:
+            j += 1
+        start = out[i - 1][1] + 1 if i else 0.0
+        end = out[j][0] - 1 if j < len(out) else float(max(len(frames) - 1, 0))
+        step = max(end - start + 1, 0.0) / (j - i)
+        for k in range(i, j):
+            out[k] = (start + step * (k - i), start + step * (k - i + 1) - 1 if step else start)
+        i = j
+    return [o for o in out if o is not None]
+
+
+def words_of_frames(labels: list[int], blank: int, space: int) -> list[tuple[int, int, list[int]]]:
+    """(first frame, last frame, label path) of words parted by the space class."""
+    out: list[tuple[int, int, list[int]]] = []
+    open_word = False
+    for k, a, b in frame_runs(labels, blank):
+        if k == space:
+            open_word = False
+        elif open_word:
+            out[-1] = (out[-1][0], b, [*out[-1][2], k])
+        else:
+            out.append((a, b, [k]))
+            open_word = True
+    return out
+
+
+def attention_score(matrix: list[list[float]], own: list[int], candidate: list[int], miss: float = 1e-4, step: float = 0.1) -> float:
+    """Log probability of a candidate on the frames of a word read by attention.
+
+    The candidate is aligned with the word's own labels; a label that stands at a
+    frame takes its probability there, one without a frame a penalty, and every
+    difference beyond the first costs another factor of ``step``.
+    """
+    n, m = len(own), len(candidate)
+    d = [[max(i, j) if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (own[i - 1] != candidate[j - 1]))
+    total, i, j = 0.0, n, m
+    while j:
+        if i and d[i][j] == d[i - 1][j - 1] + (own[i - 1] != candidate[j - 1]):
+            total += _log(max(matrix[i - 1][candidate[j - 1]], miss))
+            i, j = i - 1, j - 1
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            i -= 1
+        else:
+            total += math.log(miss)
+            j -= 1
+    return total + max(0, d[n][m] - 1) * math.log(step)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 def font_weights(usage: DataFrame) -> DataFrame:
     """``usage`` (font_id, uses) with the weight of each font: the sum of uses + 1 over its own uses + 1, cut to a whole number."""
-    total = usage.agg(F.sum(F.col("uses") + 1).alias("total"))
-    return usage.join(F.broadcast(total)).select("font_id", "uses", F.floor(F.col("total") / (F.col("uses") + 1)).alias("weight"))  # total is one row
+    total = usage.agg(F.sum(F.col("uses") + 1)).first()[0]  # one number
+    return usage.select("font_id", "uses", F.floor(F.lit(total) / (F.col("uses") + 1)).alias("weight"))
 
 
 def choose_fonts(fonts: list[int], count: int, seed: int = 0) -> list[int]:

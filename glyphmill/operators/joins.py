@@ -41,3 +41,20 @@ def last_above(rows: DataFrame, probes: DataFrame, key: str, at: str, value: str
     w = Window.partitionBy(key).orderBy(at, "_kind", "_value").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_seen", F.last("_value", ignorenulls=True).over(w)).filter("_kind = 0")
     return seen.select(*[F.col(f"_row.{c}").alias(c) for c in probes.columns], F.coalesce("_seen", F.lit(0.0)).alias(out))
+
+
+def nearest_points(rows: DataFrame, points: DataFrame, cell: float) -> DataFrame:
+    """``rows`` (id, x, y) with the nearest of ``points`` (point_id, px, py); null where none lies within ``cell``.
+
+    Points are met by an equality on grid cells, a row looking into the nine around
+    it. With ``cell`` at least the distance between neighbouring points this is
+    exact; of equally near points the one with the lower id is taken.
+    """
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    left = rows.withColumn("_n", F.explode(around))
+    left = left.withColumn("_cx", F.floor(F.col("x") / cell) + F.col("_n.a")).withColumn("_cy", F.floor(F.col("y") / cell) + F.col("_n.b")).drop("_n")
+    right = points.withColumn("_cx", F.floor(F.col("px") / cell)).withColumn("_cy", F.floor(F.col("py") / cell))
+    d = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
+    met = left.join(right, ["_cx", "_cy"]).withColumn("_d", d).filter(F.col("_d") <= cell * cell)
+    best = met.groupBy("id").agg(F.min(F.struct("_d", "point_id")).alias("b")).select("id", F.col("b.point_id").alias("point_id"), F.sqrt("b._d").alias("distance"))
+    return rows.join(best, "id", "left")

@@ -81,3 +81,22 @@ def keyword_pairs(found: DataFrame, rules: DataFrame) -> DataFrame:
     second = found.select("page_id", F.col("keyword").alias("second"))
     pairs = found.select("page_id", F.col("keyword").alias("first")).join(rules, "first").join(second, ["page_id", "second"])
     return pairs.select("page_id", F.concat_ws("&", "first", "second").alias("pair")).distinct()
+
+
+def answer_for(detect: str, service: str, pdf: bool = False) -> str:
+    """Which of the answers a request asks for: pdf, boxes, rect_text, characters or lines."""
+    if pdf:
+        return "pdf"
+    if detect == "Locate":
+        return "boxes"
+    if detect not in ("LocateRecognize", "Recognize", ""):
+        raise ValueError(f"unknown detect type {detect}")
+    return {"st_ocrapi": "lines", "st_ocrapi_all": "characters"}.get(service, "lines")
+
+
+def answers(lines: DataFrame, chars: DataFrame, detect: str, service: str) -> DataFrame:
+    """(page_id, result) in the form that :func:`answer_for` names."""
+    form = answer_for(detect, service)
+    if form == "boxes":
+        return envelope(page_results(lines, words=False))
+    return envelope(page_results(lines, chars if form == "characters" else None, polygons=form == "lines"))

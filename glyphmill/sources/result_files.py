@@ -184,3 +184,52 @@ def truth_rows(rows: DataFrame, value: str = "value") -> DataFrame:
     cells = [left, top, right, top, right, low, left, low]
     out = F.concat(F.concat_ws("\t", *[c.cast("string") for c in cells], F.lit("#"), F.lit("1"), text, *[c.cast("string") for c in n], text), F.lit("\t"))
     return rows.filter(n[3].isNotNull()).select(out.alias("row"))
+
+
+def candidate_text(words: DataFrame, candidates: DataFrame, probability: bool = False) -> DataFrame:
+    """(page_id, line_id, value): each word's group followed by the groups of its candidates, in order.
+
+    With ``probability`` a word's group carries its probability with three decimals
+    and the line's text holds the candidates, too, as menus are written.
+    """
+    keys = [*LINE, "word_id"]
+    cand = F.array_sort(F.collect_list(F.struct("cand_id", F.col("text"))))
+    sets = candidates.groupBy(*keys).agg(F.transform(cand, lambda c: c["text"]).alias("cands"))
+    rows = words.join(sets, keys, "left").withColumn("cands", F.coalesce("cands", F.array().cast("array<string>")))
+    more = [F.format_string("%.3f", F.coalesce("prob", F.lit(0.0)))] if probability else []
+    group = F.concat_ws("\t", _box(F.col("word_str"), *more), F.array_join("cands", "\t"))
+    shown = F.concat(F.coalesce("word_str", F.lit("")), F.array_join("cands", "")) if probability else F.coalesce("word_str", F.lit(""))
+    cells = F.array_sort(F.collect_list(F.struct("word_id", group.alias("g"), shown.alias("t"))))
+    out = rows.groupBy(*LINE).agg(F.transform(cells, lambda c: c["t"]).alias("t"), F.transform(cells, lambda c: c["g"]).alias("g"))
+    return out.select(*LINE, F.concat(F.array_join("t", ""), F.lit("\t"), F.array_join("g", "\t"), F.lit("\t")).alias("value"))
+
+
+def batch_text(lines: DataFrame) -> DataFrame:
+    """(value): rows of many images for one file, the image's name in front."""
+    return lines.filter("line_str IS NOT NULL AND line_str <> ''").select(F.concat(F.concat_ws("\t", "page_id", _box(F.col("line_str"))), F.lit("\t")).alias("value"))
+
+
+def estimation_words(words: DataFrame) -> DataFrame:
+    """Words for an estimate of a language model, without the mark of a failed word."""
+    return words.filter("word_str IS NOT NULL AND word_str <> '<!>'").select("page_id", "line_id", "word_id", "word_str")
+
+
+CONFIG_KINDS = {"int": int, "double": float}
+
+
+def typed_config(values: dict[str, str], registry: dict[str, tuple[str, float, float, float]]) -> dict[str, float]:
+    """Settings by a registry of (kind, least, greatest, default): what is missing, malformed or out of range gets its default."""
+    out = {}
+    for key, (kind, low, high, default) in registry.items():
+        try:
+            value = CONFIG_KINDS[kind](values[key])
+        except (KeyError, ValueError):
+            value = default
+        out[key] = value if low <= value <= high else default
+    return out
+
+
+def request_json(images: DataFrame, service: str, detect: str = "LocateRecognize", language: str = "CHN_ENG") -> DataFrame:
+    """(name, request): the JSON envelope of a request for each image; nothing is sent."""
+    body = F.concat_ws("&", F.lit(f"type={service}"), F.lit(f"detecttype={detect}"), F.lit(f"languagetype={language}"), F.concat(F.lit("image="), F.translate(F.base64("content"), "\r\n", "")))
+    return images.select("name", F.to_json(F.struct(F.lit(service).alias("provider"), F.translate(F.base64(F.encode(body, "UTF-8")), "\r\n", "").alias("data"))).alias("request"))
