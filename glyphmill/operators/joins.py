@@ -58,3 +58,19 @@ def nearest_points(rows: DataFrame, points: DataFrame, cell: float) -> DataFrame
     met = left.join(right, ["_cx", "_cy"]).withColumn("_d", d).filter(F.col("_d") <= cell * cell)
     best = met.groupBy("id").agg(F.min(F.struct("_d", "point_id")).alias("b")).select("id", F.col("b.point_id").alias("point_id"), F.sqrt("b._d").alias("distance"))
     return rows.join(best, "id", "left")
+
+
+def next_in_line(spans: DataFrame, keys: list[str], item: str, start: str, end: str, band: int = 256) -> DataFrame:
+    """Pairs (item, r_item) of a group where the second starts at or behind the end of the first and no third lies between.
+
+    How far each span reaches is the least end of all spans that start behind it:
+    one sort of ends and starts together gives it. The pairs then come from a band
+    join on that reach, so spans further on are never met.
+    """
+    probes = spans.select(*keys, item, start, end, F.col(end).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_end"))
+    marks = spans.select(*keys, item, start, end, F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.col(end).cast("int").alias("_end"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    reach = probes.unionByName(marks).withColumn("_reach", F.min("_end").over(w)).filter("_kind = 1 AND _reach IS NOT NULL")
+    a = reach.select(*keys, item, start, end, F.col(end).alias("x"), (F.col("_reach") - 1).alias("x_end"))
+    b = renamed(spans).withColumn("r_x", F.col(f"r_{start}")).withColumn("r_x_end", F.col(f"r_{start}"))
+    return band_join(a, b, keys, "x", "x_end", band, F.col("r_x").between(F.col("x"), F.col("x_end")))

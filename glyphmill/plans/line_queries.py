@@ -273,13 +273,7 @@ def j12_replaced_spans(spark: SparkSession, folder: str) -> DataFrame:
 def j14_reachable(spark: SparkSession, folder: str) -> DataFrame:
     """For each word the words to its right with no other word strictly between."""
     a = words(spark, folder).select(*KEY, F.col("box_left").alias("l"), (F.col("box_left") + F.col("wid")).alias("r"))
-    b = joins.renamed(a)
-    same = (F.col("page_id") == F.col("r_page_id")) & (F.col("line_id") == F.col("r_line_id"))
-    # the nearest end of any word that starts at or right of a word's end bounds what it reaches
-    pairs = a.join(b, same & (F.col("r_l") >= F.col("r")))
-    bound = pairs.groupBy(*KEY).agg(F.min("r_r").alias("bound"))
-    out = pairs.join(bound, KEY).filter(F.col("r_l") < F.col("bound"))
-    return out.select(*KEY, F.col("r_word_id").alias("next_word"))
+    return joins.next_in_line(a, LINE, "word_id", "l", "r").select(*KEY, F.col("r_word_id").alias("next_word"))
 
 
 def g7_row_bands(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import frames, geometry, text
-from glyphmill.operators import decode, generate, greedy, images, joins, result_json, segment
+from glyphmill.operators import decode, generate, greedy, images, joins, repair, result_json, segment
 from glyphmill.operators import lines as ops
 from glyphmill.operators.grouped import map_groups
 from glyphmill.plans.base import CHARS, KEY, LETTERS, LINES, WORDS, chars, letters, lines, words
@@ -274,13 +274,48 @@ def y4_rotated(spark: SparkSession, folder: str) -> DataFrame:
     return generate.rotated_boxes(rows, 12.0, 100.0, 24.0).select("sample_id", "letter_no", *[f"{a}{i}" for i in range(1, 5) for a in "xy"])
 
 
+def f19_noise_removed(spark: SparkSession, folder: str) -> DataFrame:
+    """English pages without the words that make noise."""
+    en = table(spark, folder, "books").filter("lang = 'en'").select("book_id")
+    rows = words(spark, folder).join(en, "book_id", "left_semi")
+    lexicon = table(spark, folder, "lexicon").filter("lang = 'en'").select("word")
+    return repair.noisy_words_removed(rows, lines(spark, folder), lexicon).select(*KEY, "word_str")
+
+
+def j17_crossing_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines put together again that were cut; heights are doubled here, so that some cross."""
+    return repair.joined_crossing_lines(lines(spark, folder).withColumn("hei", F.col("hei") * 2))
+
+
+def x25_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of any alphabet cut where letters, digits and punctuation meet."""
+    rows = words(spark, folder).filter("word_str IS NOT NULL").select(*KEY, "word_str")
+    return map_groups(rows, LINE, ["word_id"], lambda g: [dict(w, piece=i, text=t, at=a) for w in g for i, (t, a) in enumerate(repair.split_european(w["word_str"]))], "page_id string, line_id int, word_id int, piece int, text string, at int")
+
+
+def x28_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of English lines after close ones were joined: with hyphens, apostrophes, and by the lexicon."""
+    en = table(spark, folder, "books").filter("lang = 'en'").select("book_id")
+    lexicon = frozenset(r.word.lower() for r in table(spark, folder, "lexicon").filter("lang = 'en'").select("word").limit(500_001).collect())
+    if len(lexicon) > 500_000:
+        raise ValueError("the lexicon is larger than its bound")
+    rows = words(spark, folder).join(en, "book_id", "left_semi").filter("word_str IS NOT NULL").select(*KEY, "word_str", "box_left", "wid")
+
+    def fn(g: list[dict]) -> list[dict]:
+        gaps = [b["box_left"] - a["box_left"] - a["wid"] for a, b in zip(g, g[1:])]
+        space = max(1.0, sum(gaps) / len(gaps)) if gaps else 1.0
+        return repair.merge_known(repair.merge_special(decode.merge_close(g, space), space), lexicon, space)
+
+    return map_groups(rows, LINE, ["word_id"], fn, "page_id string, line_id int, word_id int, word_str string, box_left int, wid int")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         f12_nonempty_lines, f13_weak_boxes, f17_small_lines, f21_position_score, f22_dots, j11_extend_limits, j13_batch_scatter, j15_nearest_grid, j18_stems, o10_by_width,
         o11_widest, g10_from_columns, d28_to_height, d11_likeliest_case, d13_words_of_frames, d14_frame_boxes, d18_attention_spans, d30_even_chars,
         d37_first_of_beams, d22_finished_lines, d26_english_share_router, w9_word_groups, g6_component_rows, g1_pixel_measures, x2_encoded_again, x19_alignments,
-        k3_candidate_text, k4_menu_text, k7_batch_text, k11_estimation_words, r1_answers, y4_rotated,
+        k3_candidate_text, k4_menu_text, k7_batch_text, k11_estimation_words, r1_answers, y4_rotated, f19_noise_removed, j17_crossing_lines, x25_pieces, x28_merged,
     )
 }
 # a name of its own, since p7_ belongs to problem 7
@@ -297,6 +332,11 @@ _RUNS = """s AS (SELECT *, coalesce(regexp_matches(char_str, '^[A-Za-z]'), false
   r AS (SELECT DISTINCT page_id, line_id FROM (SELECT page_id, line_id, grp FROM g WHERE same GROUP BY ALL HAVING count(*) >= 5))"""
 
 ORACLE = {
+    "f19_noise_removed": f"""WITH {WORDS}, {LINES}, k AS (SELECT DISTINCT lower(word) AS known FROM lexicon WHERE lang = 'en'),
+      b AS (SELECT w.*, lower(regexp_replace(coalesce(word_str, ''), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) AS bare FROM w WHERE book_id IN (SELECT book_id FROM books WHERE lang = 'en')),
+      h AS (SELECT b.*, k.known IS NOT NULL AS hit, ln.hei > 0.6::DOUBLE * ln.img_h AS only_line FROM b JOIN ln ON ln.page_id = b.page_id AND ln.line_id = b.line_id LEFT JOIN k ON k.known = b.bare),
+      c AS (SELECT *, count(*) FILTER (hit AND length(bare) >= 4) OVER l AS n_long, sum(CASE WHEN hit THEN 0 ELSE length(bare) END) OVER l AS noise FROM h WINDOW l AS (PARTITION BY page_id, line_id))
+      SELECT page_id, line_id, word_id, word_str FROM c WHERE NOT (NOT only_line AND (n_long <= noise OR noise > 2) AND NOT hit AND length(bare) >= 3)""",
     "f12_nonempty_lines": f"WITH {LINES} SELECT page_id, line_id, line_str FROM ln WHERE line_str IS NOT NULL AND line_str <> ''",
     "f13_weak_boxes": f"WITH {WORDS} SELECT page_id, line_id, coalesce(list(box_left ORDER BY word_id) FILTER (coalesce(prob, 0.0) >= 0.75), []) AS lefts FROM w GROUP BY ALL",
     "f17_small_lines": f"WITH {LINES} SELECT page_id, line_id, wid, hei FROM ln WHERE wid * hei < img_w * img_h / 2000.0 OR wid < 3 OR hei < 3",
