@@ -187,6 +187,7 @@ class Pairs:
         self.words: dict[str, set[str]] = {}
         for word, lang in lexicon:
             self.words.setdefault(lang, set()).add(bare(word))
+        self._judged: dict[tuple, bool] = {}
         self.model = self._train()
 
     def features(self, last: str, sign: bool, first: str, lang: str | None) -> list[float]:
@@ -232,8 +233,14 @@ class Pairs:
 
     def broken(self, last: str, sign: bool, first: str, lang: str | None) -> bool:
         """The model's word, for pairs that together give a lexicon word."""
-        f = self.features(last, sign, first, lang)
-        return bool(f[0] or f[1]) and bool(self.model.predict(np.array([f]))[0] >= 0.5)
+        f = tuple(self.features(last, sign, first, lang))
+        if not (f[0] or f[1]):
+            return False
+        if f not in self._judged:  # few different vectors come up, and the model is slow on single ones
+            if len(self._judged) > 100_000:
+                self._judged.clear()
+            self._judged[f] = bool(self.model.predict(np.array([f]))[0] >= 0.5)
+        return self._judged[f]
 
 
 # --- the pass over the lines -----------------------------------------------------------------
