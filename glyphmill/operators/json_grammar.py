@@ -28,8 +28,11 @@ class Number(str):
     __slots__ = ()
 
 
-def parse(text: str):
-    """The value of ``text``; raises Fault with the offset of the first error."""
+def parse(text: str, repeated: list[str] | None = None):
+    """The value of ``text``; raises Fault with the offset of the first error.
+
+    Names of members that an object holds more than once are put into ``repeated``.
+    """
     nxt = _TOKEN.match
     at = 0
     stack: list[tuple[object, str | None]] = []
@@ -87,6 +90,8 @@ def parse(text: str):
         if not stack:
             holder, want = value, "end"
         elif isinstance(holder, dict):
+            if repeated is not None and key in holder:
+                repeated.append(key)
             holder[key] = value
             want = "comma or close"
         else:

@@ -184,17 +184,18 @@ def check_response(tree) -> Fault | None:
 
 
 def read_response(result: str, kind: str | None):
-    """(JSON text, tree) of a result; raises Fault of kind syntax."""
+    """(JSON text, tree) of a result; raises Fault of kind syntax. In the text, of repeated members the last alone is left."""
     text = result
     if kind == "json_base64":
         try:
             text = base64.b64decode(result.encode("ascii"), validate=True).decode("utf-8")
         except (binascii.Error, UnicodeError, ValueError) as e:
             raise Fault("syntax", f"no base64 of UTF-8: {str(e)[:80]}", 0) from None
-    tree = json_grammar.parse(text)
+    repeated: list[str] = []
+    tree = json_grammar.parse(text, repeated)
     if not isinstance(tree, dict):
         raise Fault("syntax", "the value is not an object", 0)
-    return text, tree
+    return json_grammar.dump(tree) if repeated else text, tree
 
 
 def parse_responses(df: DataFrame, result: str = "result", kind: str = "result_type", text: str | None = None) -> DataFrame:
@@ -221,7 +222,7 @@ def parse_responses(df: DataFrame, result: str = "result", kind: str = "result_t
                 reasons.append(fault.kind if fault else None)
                 ats.append(fault.offset if fault else None)
                 faults.append(fault.message if fault else None)
-                texts.append(None if fault or json_text is None else json_grammar.dump(tree) if text else None)
+                texts.append(None if fault else json_text)
             out = [pa.array(reasons, pa.string()), pa.array(ats, pa.int32()), pa.array(faults, pa.string())]
             return out + ([pa.array(texts, pa.string())] if text else [])
 

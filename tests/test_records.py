@@ -9,6 +9,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from glyphmill.operators import json_grammar, nested
 from glyphmill.operators.parse_rows import WORD_GRAMMAR, parse_responses, parse_word_dump, parse_word_rows
@@ -180,6 +181,16 @@ def test_responses_cases_and_elements(spark):
     assert got == want
 
 
+def test_repeated_members_and_escapes_reach_the_tables(spark):
+    texts = ['{"ret": 1, "ret": [{"word": "a", "word": "b\\u00e9\\ud800"}, {"word": "\\"x\\\\"}]}', '{"ret": [{"word": "é\\/"}]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "response_id long, result string").withColumn("result_type", F.lit(None).cast("string"))
+    parsed = parse_responses(df, text="json").filter("json IS NOT NULL")
+    schema = nested.infer(parsed, "json")
+    rows = nested.child_table(nested.to_variant(parsed.select("response_id", "json"), "json"), "response_id", "value", ("ret",), schema)
+    got = sorted((r.row_id, r.word) for r in rows.collect())
+    assert [g[0] for g in got] == ["0/0", "0/1", "1/0"] and got[0][1].startswith("bé") and got[1][1] == '"x\\' and got[2][1] == "é/"
+
+
 def test_found_queries_match_plain_python(spark):
     answers = spark.read.parquet(f"{SF_SMALL}/responses.parquet").toPandas().drop_duplicates("response_id")
     want4, want5 = set(), set()
