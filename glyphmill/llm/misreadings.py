@@ -25,13 +25,13 @@ Q = 2
 #: Damaged words made for training, of each lexicon word.
 TRAIN_COPIES = 3
 TRAIN_WORDS = 1500
-ACCEPT = 0.6
+ACCEPT = 0.8
 
 # What recognisers take for one another, in groups written "right>wrong wrong ...".
 _CONFUSED = """
 a>o @ e|b>6 h|c>e o|d>cl|e>c 6 o|f>t|g>9 q|h>b n|i>l 1 ! j|l>1 i | I|m>rn nn|n>u r|o>0 c a|p>q|q>g|r>t f|s>5 $|t>f + l|u>n v ii|v>y u|w>vv|x>%|y>v|z>2
-in>m|ve>w|ch>dr|rn>m|ri>n|nn>m|ß>fs B 8|k>h lc|é>6 e ó|è>e 6|ê>e|ë>e|à>a|â>a|ç>c|ô>o|ö>o 6|ü>u ii|ä>a|ù>u|û>u|ñ>n|í>i|á>a|ó>o 6|ú>u
-а>о @|б>6|в>8|г>т|д>л|е>с 6|ж>х|з>3|и>н п|й>и|к>н х|л>п|м>н ы|н>п и|о>0 с|п>н л|р>п|с>е о|т>г|у>ч|х>ж|ц>и|ч>4|ш>щ|щ>ш|ы>ь1 ьi|ь>6|э>з|ю>о|я>л|ё>е|л>д|ч>у
+in>m|ve>w|ch>dr|cl>d|li>h|vv>w|rn>m|ri>n|nn>m rm|ß>fs B 8|k>h lc|é>6 e ó|è>e 6|ê>e|ë>e|à>a|â>a|ç>c|ô>o|ö>o 6|ü>u ii|ä>a|ù>u|û>u|ñ>n|í>i|á>a|ó>o 6|ú>u
+а>о @|б>6|в>8|г>т|д>л|е>с 6|ж>х|з>3|и>н п|й>и|к>н х|л>п|м>н ы|н>п и|о>0 с|п>н л|р>п|с>е о|т>г|у>ч|х>ж|ц>и п|ч>4|ш>щ|щ>ш|ы>ь1 ьi|ь>6|э>з|ю>о|я>л|ё>е|л>д|ч>у
 """
 
 
