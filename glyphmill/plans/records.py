@@ -82,6 +82,7 @@ def queries() -> dict:
         "p4_found": p4_found,
         "p4_word_rows": p4_word_rows,
         "p4_faults": p4_faults,
+        "p4_failing_rows": p4_failing_rows,
         "p5_found": p5_found,
         "p5_records": _child(()),
         "p5_lines": _child(("ret",)),
@@ -90,5 +91,28 @@ def queries() -> dict:
     }
 
 
+_WHOLE = "regexp_full_match({0}, '-?[0-9]+') AND try_cast({0} AS INTEGER) IS NOT NULL"
+_FIELDS = """r AS (SELECT DISTINCT row_id, coalesce(raw, '') AS raw FROM word_rows),
+  q AS (SELECT row_id, regexp_full_match(raw, '(?:"(?:[^"]|"")*"|[^",\n]*)(?:,(?:"(?:[^"]|"")*"|[^",\n]*))*') AS quoted, regexp_extract_all(',' || raw, ',("(?:[^"]|"")*"|[^",\n]*)', 1) AS parts FROM r),
+  f AS (SELECT row_id, quoted, list_transform(parts, lambda x: CASE WHEN left(x, 1) = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM q),
+  v AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> 9 THEN 'columns' WHEN NOT (""" + " AND ".join(_WHOLE.format(f"f[{i}]") for i in range(2, 8)) + """
+    AND try_cast(f[2] AS BIGINT) >= 0 AND try_cast(f[3] AS BIGINT) >= 0 AND try_cast(f[6] AS BIGINT) >= 1 AND try_cast(f[7] AS BIGINT) >= 1 AND f[8] <> ''
+    AND (f[9] = '' OR (regexp_full_match(f[9], '-?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?') AND try_cast(f[9] AS DOUBLE) BETWEEN 0 AND 1))) THEN 'value' END AS reason FROM f)"""
+
+
+def p4_failing_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The failing word records of p4_found, on their own."""
+    rows = parse_word_rows(table(spark, folder, "word_rows").select("row_id", "raw")).filter(F.col("reason").isNotNull())
+    return rows.select("row_id", "reason").distinct()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    typed = ", ".join(f"CAST(f[{i}] AS INTEGER) AS {_quoted(n)}" for i, n in enumerate(WORD_FIELDS[1:7], 2))
+    return {
+        "p4_failing_rows": f"WITH {_FIELDS} SELECT row_id, reason FROM v WHERE reason IS NOT NULL",
+        "p4_word_rows": f"WITH {_FIELDS} SELECT row_id, f[1] AS page_id, {typed}, f[8] AS text, CASE WHEN f[9] <> '' THEN CAST(f[9] AS DOUBLE) END AS prob FROM v WHERE reason IS NULL",
+    }
+
+
+def _quoted(name: str) -> str:
+    return f'"{name}"'
