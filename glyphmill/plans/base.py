@@ -7,20 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 from glyphmill.sources.tables import table
 
 
-def words(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "words").distinct()
+KEY = ["page_id", "line_id", "word_id"]
+
+
+def _once(spark: SparkSession, folder: str, name: str, keys: list[str], columns: tuple[str, ...]) -> DataFrame:
+    """Repeats have the same values, so the rows are distinct on the keys and any columns; only those are read."""
+    df = table(spark, folder, name)
+    return (df.select(*dict.fromkeys([*keys, *columns])) if columns else df).distinct()
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "text_lines").distinct()
+def words(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Words without repeats: all columns, or the keys and ``columns``."""
+    return _once(spark, folder, "words", KEY, columns)
 
 
-def chars(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chars").distinct()
+def lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return _once(spark, folder, "text_lines", KEY[:2], columns)
 
 
-def letters(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "letters").distinct()
+def chars(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return _once(spark, folder, "chars", [*KEY, "char_id"], columns)
+
+
+def letters(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return _once(spark, folder, "letters", ["sample_id", "letter_no"], columns)
 
 
 #: The same as SQL, to be put before a statement.
@@ -28,4 +38,3 @@ WORDS = "w AS (SELECT DISTINCT * FROM words)"
 LINES = "ln AS (SELECT DISTINCT * FROM text_lines)"
 CHARS = "ch AS (SELECT DISTINCT * FROM chars)"
 LETTERS = "lt AS (SELECT DISTINCT * FROM letters)"
-KEY = ["page_id", "line_id", "word_id"]

@@ -15,36 +15,36 @@ LINE = ops.LINE
 
 
 def a1_line_text(spark: SparkSession, folder: str) -> DataFrame:
-    w = words(spark, folder)
+    w = words(spark, folder, "word_str", "left_add_space")
     return ops.line_text(w).join(ops.line_text(w, "leading", "leading"), LINE).join(ops.line_text(w, "trailing", "trailing"), LINE)
 
 
 def a3_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.bounds(words(spark, folder), *LINE)
+    return ops.bounds(words(spark, folder, *ops.BOX), *LINE)
 
 
 def a4_page_extent(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.bounds(lines(spark, folder), "page_id")
+    return ops.bounds(lines(spark, folder, *ops.BOX), "page_id")
 
 
 def a6_latin_share(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.latin_share(chars(spark, folder)).select(*LINE, F.round("latin_share", 6).alias("latin_share"))
+    return ops.latin_share(chars(spark, folder, "char_str")).select(*LINE, F.round("latin_share", 6).alias("latin_share"))
 
 
 def a7_block_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    out = ops.block_statistics(words(spark, folder))
+    out = ops.block_statistics(words(spark, folder, *ops.BOX))
     return out.select(*LINE, "n", "mean_wid", "mean_hei", *[F.round(c, 6).alias(c) for c in ("mean_gap", "by_size", "by_gap", "space")])
 
 
 def a9_medians(spark: SparkSession, folder: str) -> DataFrame:
-    heights = lines(spark, folder).select(*LINE, F.col("hei").alias("line_hei"))
-    out = ops.upper_medians(words(spark, folder), heights)
+    heights = lines(spark, folder, "hei").select(*LINE, F.col("hei").alias("line_hei"))
+    out = ops.upper_medians(words(spark, folder, "wid", "hei"), heights)
     return out.select(*LINE, "median_wid", "median_hei", F.round("mean_hei", 6).alias("mean_hei"))
 
 
 def a12_line_heights(spark: SparkSession, folder: str) -> DataFrame:
     """For each page: mean real height of its lines (whole pixels), most bytes in a line, and lines without a polygon."""
-    rows = lines(spark, folder).withColumn("real", geometry.polygon_height(F.col("poly")))
+    rows = lines(spark, folder, "poly", "line_str").withColumn("real", geometry.polygon_height(F.col("poly")))
     return rows.groupBy("page_id").agg(
         F.expr("sum(real) div count(real)").alias("mean_height"), F.max(F.octet_length("line_str")).alias("most_bytes"), F.count_if(F.col("poly").isNull()).alias("no_poly")
     )
@@ -52,8 +52,8 @@ def a12_line_heights(spark: SparkSession, folder: str) -> DataFrame:
 
 def a14_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     """Share of the lines whose words, joined, equal the line as recognised, by language."""
-    read = ops.line_text(words(spark, folder), out="read")
-    truth = lines(spark, folder).select(*LINE, "book_id", F.replace(F.coalesce("line_str", F.lit("")), F.lit(" "), F.lit("")).alias("truth"))
+    read = ops.line_text(words(spark, folder, "word_str"), out="read")
+    truth = lines(spark, folder, "book_id", "line_str").select(*LINE, "book_id", F.replace(F.coalesce("line_str", F.lit("")), F.lit(" "), F.lit("")).alias("truth"))
     same = (F.replace("read", F.lit(" "), F.lit("")) == F.col("truth")).cast("double")
     books = table(spark, folder, "books").select("book_id", "lang")
     return truth.join(read, LINE).join(books, "book_id").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(same), 6).alias("accuracy"))
@@ -66,12 +66,12 @@ def a15_font_usage(spark: SparkSession, folder: str) -> DataFrame:
 
 def a16_page_text(spark: SparkSession, folder: str) -> DataFrame:
     cells = F.array_sort(F.collect_list(F.struct("line_id", F.coalesce("line_str", F.lit("")).alias("t"))))
-    return lines(spark, folder).groupBy("page_id").agg(F.array_join(F.transform(cells, lambda x: x["t"]), "\n").alias("page_text"))
+    return lines(spark, folder, "line_str").groupBy("page_id").agg(F.array_join(F.transform(cells, lambda x: x["t"]), "\n").alias("page_text"))
 
 
 def f1_width_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Training rows: lines 50 to 1000 wide, the label being all words but the last."""
-    rows = lines(spark, folder).filter("wid BETWEEN 50 AND 1000 AND line_str IS NOT NULL")
+    rows = lines(spark, folder, "wid", "hei", "line_str").filter("wid BETWEEN 50 AND 1000 AND line_str IS NOT NULL")
     parts = F.filter(F.split("line_str", " "), lambda x: x != "")
     return rows.select(*LINE, "wid", "hei", F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), " ").alias("label"))
 
@@ -79,14 +79,14 @@ def f1_width_filter(spark: SparkSession, folder: str) -> DataFrame:
 def f2_encodable(spark: SparkSession, folder: str) -> DataFrame:
     """Words all of whose chars have a class in the label table, with their classes; others are dropped whole."""
     labels = spark.range(33, 127).select(F.col("id").cast("int").alias("code"), (F.col("id") - 33).cast("int").alias("idx"))
-    rows = chars(spark, folder).filter("char_str IS NOT NULL").withColumn("code", F.ascii("char_str"))
+    rows = chars(spark, folder, "char_str").filter("char_str IS NOT NULL").withColumn("code", F.ascii("char_str"))
     rows = rows.join(F.broadcast(labels), "code", "left")  # 94 rows, made here
     out = rows.groupBy(*KEY).agg(F.bool_and(F.col("idx").isNotNull()).alias("all"), F.array_sort(F.collect_list(F.struct("char_id", "idx"))).alias("cells"))
     return out.filter("all").select(*KEY, F.transform("cells", lambda x: x["idx"]).alias("path"))
 
 
 def f5_row_or_column(spark: SparkSession, folder: str) -> DataFrame:
-    return words(spark, folder).select(*KEY, (F.col("hei") > 2.0 * F.col("wid")).alias("is_column"))
+    return words(spark, folder, "wid", "hei").select(*KEY, (F.col("hei") > 2.0 * F.col("wid")).alias("is_column"))
 
 
 def f7_detected_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,20 +98,20 @@ def f7_detected_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f8_confident_words(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.confident_words(words(spark, folder)).select(*KEY, "word_str", "prob")
+    return ops.confident_words(words(spark, folder, "word_str", "prob", "lc_type")).select(*KEY, "word_str", "prob")
 
 
 def f9_trimmed(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.trimmed_words(words(spark, folder)).select(*KEY, "word_str")
+    return ops.trimmed_words(words(spark, folder, "word_str", "log_prob")).select(*KEY, "word_str")
 
 
 def f10_valid_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.valid_lines(ops.confident_words(words(spark, folder)))
+    return ops.valid_lines(ops.confident_words(words(spark, folder, "prob", "lc_type")))
 
 
 def f11_digits_only(spark: SparkSession, folder: str) -> DataFrame:
     """Words that begin with a digit, and with them only lines that have any."""
-    return words(spark, folder).filter("word_str RLIKE '^[0-9]'").select(*KEY, "word_str")
+    return words(spark, folder, "word_str").filter("word_str RLIKE '^[0-9]'").select(*KEY, "word_str")
 
 
 def f15_small_components(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,14 +145,14 @@ def f18_lexicon_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w1_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.gaps(words(spark, folder)).select(*KEY, F.round("gap_left", 6).alias("gap_left"), F.round("gap_right", 6).alias("gap_right"))
+    return ops.gaps(words(spark, folder, "box_left", "wid")).select(*KEY, F.round("gap_left", 6).alias("gap_left"), F.round("gap_right", 6).alias("gap_right"))
 
 
 def w2_word_groups(spark: SparkSession, folder: str) -> DataFrame:
     """From each word on, the boxes around 1 to 3 words."""
     w = ops.ordered_words()
     right = F.col("box_left") + F.col("wid")
-    rows = words(spark, folder).withColumn("pos", F.row_number().over(w))
+    rows = words(spark, folder, "box_left", "wid").withColumn("pos", F.row_number().over(w))
     out = None
     for n in (1, 2, 3):
         f = w.rowsBetween(0, n - 1)
@@ -164,7 +164,7 @@ def w2_word_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def w3_gap_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     """The gaps of a line at one and two thirds of their order."""
-    rows = words(spark, folder).withColumn("gap", F.lead("box_left").over(ops.ordered_words()) - F.col("box_left") - F.col("wid")).filter("gap IS NOT NULL")
+    rows = words(spark, folder, "box_left", "wid").withColumn("gap", F.lead("box_left").over(ops.ordered_words()) - F.col("box_left") - F.col("wid")).filter("gap IS NOT NULL")
     gaps = rows.groupBy(*LINE).agg(F.array_sort(F.collect_list("gap")).alias("g"))
     n = F.size("g")
     return gaps.select(*LINE, F.element_at("g", F.floor(n / 3).cast("int") + 1).alias("third"), F.element_at("g", F.floor(2 * n / 3).cast("int") + 1).alias("two_thirds"))
@@ -172,7 +172,7 @@ def w3_gap_quantiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def w5_latin_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Maximal runs of five or more Latin letters among the chars of a line."""
-    rows = chars(spark, folder).withColumn("right", F.col("box_left") + F.col("wid"))
+    rows = chars(spark, folder, "char_str", "box_left", "wid").withColumn("right", F.col("box_left") + F.col("wid"))
     out = ops.runs(rows, LINE, ["word_id", "char_id"], F.col("char_str").rlike("^[A-Za-z]"), 5, ["box_left", "right"])
     return out.select(*LINE, F.col("n"), F.col("first_box_left").alias("left"), F.col("last_right").alias("right"))
 
@@ -200,14 +200,14 @@ def w8_same_source(spark: SparkSession, folder: str) -> DataFrame:
 def j2_shared_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Characters of Chinese pages that English pages use, too (semi join)."""
     books = table(spark, folder, "books").select("book_id", "lang")
-    rows = chars(spark, folder).filter("char_str IS NOT NULL").join(books, "book_id")
+    rows = chars(spark, folder, "char_str", "book_id").filter("char_str IS NOT NULL").join(books, "book_id")
     zh, en = rows.filter("lang = 'zh'").select("char_str").distinct(), rows.filter("lang = 'en'").select("char_str").distinct()
     return zh.join(en, "char_str", "left_semi")
 
 
 def j3_votes(spark: SparkSession, folder: str) -> DataFrame:
     """Words of a recogniser with the votes of two others that read the same text on the page."""
-    rows = words(spark, folder)
+    rows = words(spark, folder, "word_str", "prob")
     split = F.col("word_id") % 3
     m1 = rows.filter(split == 0).select(*KEY, "word_str", "prob")
     m2 = rows.filter(split == 1).select("page_id", "word_str").distinct().withColumn("v2", F.lit(True))
@@ -220,7 +220,7 @@ def j3_votes(spark: SparkSession, folder: str) -> DataFrame:
 
 def j5_overlapping_words(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chars of a line whose boxes overlap by more than a quarter of both widths (band join)."""
-    rows = chars(spark, folder).select("page_id", "line_id", "word_id", "char_id", "box_left", "wid", (F.col("box_left") + F.col("wid") - 1).alias("box_right"))
+    rows = chars(spark, folder, "box_left", "wid").select("page_id", "line_id", "word_id", "char_id", "box_left", "wid", (F.col("box_left") + F.col("wid") - 1).alias("box_right"))
     right = joins.renamed(rows)
     overlap = geometry.intersection(F.col("box_left"), F.col("wid"), F.col("r_box_left"), F.col("r_wid"))
     before = (F.col("word_id") < F.col("r_word_id")) | ((F.col("word_id") == F.col("r_word_id")) & (F.col("char_id") < F.col("r_char_id")))
@@ -262,7 +262,7 @@ def j10_offset_above(spark: SparkSession, folder: str) -> DataFrame:
 
 def j12_replaced_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Chars of a line outside its Latin runs, together with the runs: an anti join on spans, then a union."""
-    rows = chars(spark, folder).filter("char_str IS NOT NULL").withColumn("right", F.col("box_left") + F.col("wid"))
+    rows = chars(spark, folder, "char_str", "box_left", "wid").filter("char_str IS NOT NULL").withColumn("right", F.col("box_left") + F.col("wid"))
     found = ops.runs(rows, LINE, ["word_id", "char_id"], F.col("char_str").rlike("^[A-Za-z]"), 5, ["box_left", "right"])
     spans = found.select(*LINE, F.col("first_box_left").alias("a"), F.col("last_right").alias("b"), "n")
     inside = [rows[c] == spans[c] for c in LINE] + [rows["box_left"].between(spans["a"], spans["b"])]
@@ -272,24 +272,24 @@ def j12_replaced_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 def j14_reachable(spark: SparkSession, folder: str) -> DataFrame:
     """For each word the words to its right with no other word strictly between."""
-    a = words(spark, folder).select(*KEY, F.col("box_left").alias("l"), (F.col("box_left") + F.col("wid")).alias("r"))
+    a = words(spark, folder, "box_left", "wid").select(*KEY, F.col("box_left").alias("l"), (F.col("box_left") + F.col("wid")).alias("r"))
     return joins.next_in_line(a, LINE, "word_id", "l", "r").select(*KEY, F.col("r_word_id").alias("next_word"))
 
 
 def g7_row_bands(spark: SparkSession, folder: str) -> DataFrame:
     """Words of a page merged into bands of rows that overlap by a pixel or more."""
-    rows = words(spark, folder).select("page_id", "box_top", (F.col("box_top") + F.col("hei") - 1).alias("box_low"))
+    rows = words(spark, folder, "box_top", "hei").select("page_id", "box_top", (F.col("box_top") + F.col("hei") - 1).alias("box_low"))
     return ops.merged_spans(rows, ["page_id"], "box_top", "box_low").select("page_id", "start", "end", "n")
 
 
 def g11_warped(spark: SparkSession, folder: str) -> DataFrame:
     box = geometry.warped(F.col("box_left"), F.col("box_top"), F.col("wid"), F.col("hei"), [[1.0, 0.25, 8.0], [0.125, 1.0, 4.0], [0.0, 0.0, 2.0]])
-    return words(spark, folder).select(*KEY, box.alias("b")).select(*KEY, "b.*")
+    return words(spark, folder, *ops.BOX).select(*KEY, box.alias("b")).select(*KEY, "b.*")
 
 
 def g12_rescaled(spark: SparkSession, folder: str) -> DataFrame:
     box = geometry.rescaled(F.col("box_left"), F.col("box_top"), F.col("wid"), F.col("hei"), 1.25)
-    return words(spark, folder).select(*KEY, box.alias("b")).select(*KEY, "b.*")
+    return words(spark, folder, *ops.BOX).select(*KEY, box.alias("b")).select(*KEY, "b.*")
 
 
 def g13_turned(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,18 +299,18 @@ def g13_turned(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g15_real_height(spark: SparkSession, folder: str) -> DataFrame:
-    return lines(spark, folder).select(*LINE, geometry.polygon_height(F.col("poly")).alias("real_height"))
+    return lines(spark, folder, "poly").select(*LINE, geometry.polygon_height(F.col("poly")).alias("real_height"))
 
 
 def d27_tiles(spark: SparkSession, folder: str) -> DataFrame:
     """Lines at four times their size, cut into overlapping tiles."""
-    rows = lines(spark, folder).select(*LINE, F.posexplode(geometry.tiles(F.col("wid") * 4, 900, 200)).alias("tile", "t"))
+    rows = lines(spark, folder, "wid").select(*LINE, F.posexplode(geometry.tiles(F.col("wid") * 4, 900, 200)).alias("tile", "t"))
     return rows.select(*LINE, "tile", "t.left", "t.wid")
 
 
 def b1_union(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and columns of text, told apart and put together again, from left to right."""
-    rows = words(spark, folder).withColumn("is_column", F.col("hei") > F.col("wid"))
+    rows = words(spark, folder, "box_left", "wid", "hei").withColumn("is_column", F.col("hei") > F.col("wid"))
     both = rows.filter("NOT is_column").unionByName(rows.filter("is_column"))
     return both.groupBy(*LINE).agg(F.count_if("is_column").alias("columns"), F.count("*").alias("n"), F.min(F.struct("box_left", "word_id"))["word_id"].alias("first_word"))
 
@@ -329,12 +329,12 @@ def o2_presorted(spark: SparkSession, folder: str) -> DataFrame:
 def o7_best_words(spark: SparkSession, folder: str) -> DataFrame:
     """The three surest words of each line."""
     w = Window.partitionBy(*LINE).orderBy(F.col("prob").desc_nulls_last(), F.col("word_id").desc())
-    return words(spark, folder).withColumn("place", F.row_number().over(w)).filter("place <= 3").select(*KEY, "place", "prob")
+    return words(spark, folder, "prob").withColumn("place", F.row_number().over(w)).filter("place <= 3").select(*KEY, "place", "prob")
 
 
 def flagship_top_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The surest lines: weak words dropped, valid lines kept, text joined, the ten with most words."""
-    good = ops.confident_words(words(spark, folder))
+    good = ops.confident_words(words(spark, folder, "word_str", "prob", "lc_type", "left_add_space"))
     kept = good.join(ops.valid_lines(good), LINE, "left_semi")
     shown = ops.line_text(kept).join(kept.groupBy(*LINE).agg(F.count("*").alias("n"), F.round(F.avg("prob"), 6).alias("mean_prob")), LINE)
     return shown.orderBy(F.desc("n"), F.desc("mean_prob"), "page_id", "line_id").limit(10)

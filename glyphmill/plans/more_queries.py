@@ -156,7 +156,7 @@ def d18_attention_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 def d30_even_chars(spark: SparkSession, folder: str) -> DataFrame:
     """Boxes of a word's characters where only the word has one: even parts of it."""
-    rows = words(spark, folder).filter("word_str RLIKE '^[!-~]+$'")
+    rows = words(spark, folder, "word_str", "box_left", "wid").filter("word_str RLIKE '^[!-~]+$'")
     rows = rows.select(*KEY, "box_left", "wid", F.length("word_str").alias("n"), F.posexplode(text.characters(F.col("word_str"))).alias("char_id", "ch"))
     return rows.select(*KEY, "char_id", "ch", F.expr("box_left + wid * char_id div n").alias("left"), F.expr("wid div n").alias("width"))
 
@@ -177,20 +177,20 @@ def d22_finished_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def d26_english_share_router(spark: SparkSession, folder: str) -> DataFrame:
     """How each line is read a second time: whole, in pieces, or not at all."""
-    share = ops.latin_share(chars(spark, folder))
+    share = ops.latin_share(chars(spark, folder, "char_str"))
     found = w5_counts(spark, folder)
     route = F.when(F.col("latin_share") >= 0.95, "whole").when(F.col("pieces") > 0, "pieces").otherwise("none")
     return share.join(found, LINE, "left").select(*LINE, route.alias("route"))
 
 
 def w5_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = chars(spark, folder).withColumn("right", F.col("box_left") + F.col("wid"))
+    rows = chars(spark, folder, "char_str", "box_left", "wid").withColumn("right", F.col("box_left") + F.col("wid"))
     found = ops.runs(rows, LINE, ["word_id", "char_id"], F.col("char_str").rlike("^[A-Za-z]"), 5, ["box_left", "right"])
     return found.groupBy(*LINE).agg(F.count("*").alias("pieces"))
 
 
 def w9_word_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return segment.word_groups(words(spark, folder))
+    return segment.word_groups(words(spark, folder, *ops.BOX))
 
 
 def g6_component_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,7 +226,7 @@ def x2_encoded_again(spark: SparkSession, folder: str) -> DataFrame:
 
 def x19_alignments(spark: SparkSession, folder: str) -> DataFrame:
     """The words of a line aligned with the line as recognised: score and number of matched characters."""
-    read = ops.line_text(words(spark, folder), out="read").join(lines(spark, folder).select(*LINE, "line_str"), LINE).filter("line_str IS NOT NULL AND length(line_str) < 200")
+    read = ops.line_text(words(spark, folder, "word_str", "left_add_space"), out="read").join(lines(spark, folder).select(*LINE, "line_str"), LINE).filter("line_str IS NOT NULL AND length(line_str) < 200")
 
     def fn(g: list[dict]) -> list[dict]:
         out = []

@@ -126,7 +126,7 @@ def j4_merged_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a5_lines_of_words(spark: SparkSession, folder: str) -> DataFrame:
-    return greedy.words_to_lines(words(spark, folder))
+    return greedy.words_to_lines(words(spark, folder, "box_left", "box_top", "wid", "hei"))
 
 
 def o3_reading_order(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,7 +173,7 @@ def k8_best_readings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k10_whole_line(spark: SparkSession, folder: str) -> DataFrame:
-    return result_files.whole_line(words(spark, folder))
+    return result_files.whole_line(words(spark, folder, "word_str"))
 
 
 def k5_gbk(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,7 +230,7 @@ def s17_parsed_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def x24_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Words cut where letters, digits and punctuation meet, their boxes in proportion."""
-    rows = words(spark, folder).filter("word_str RLIKE '^[!-~]+$'").select(*KEY, "word_str", "box_left", "wid")
+    rows = words(spark, folder, "word_str", "box_left", "wid").filter("word_str RLIKE '^[!-~]+$'").select(*KEY, "word_str", "box_left", "wid")
     return map_groups(rows, LINE, ["word_id"], lambda g: [p for w in g for p in decode.split_boxes(w)], "page_id string, line_id int, word_id int, word_str string, box_left int, wid int, piece int")
 
 

@@ -17,7 +17,7 @@ def x_code_points(spark: SparkSession, folder: str) -> DataFrame:
 
 def x_widths(spark: SparkSession, folder: str) -> DataFrame:
     w = F.col("word_str")
-    return words(spark, folder).select(*KEY, text.to_full_width(w).alias("full_width"), text.to_half_width(w).alias("half_width"), text.charset_filter(w).alias("kept"))
+    return words(spark, folder, "word_str").select(*KEY, text.to_full_width(w).alias("full_width"), text.to_half_width(w).alias("half_width"), text.charset_filter(w).alias("kept"))
 
 
 def x_classes(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,12 +31,12 @@ def x_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 def x_case(spark: SparkSession, folder: str) -> DataFrame:
     w = F.col("word_str")
-    return words(spark, folder).select(*KEY, text.lower_european(w).alias("low"), text.upper_european(w).alias("high"), text.capitalised(w).alias("capital"))
+    return words(spark, folder, "word_str").select(*KEY, text.lower_european(w).alias("low"), text.upper_european(w).alias("high"), text.capitalised(w).alias("capital"))
 
 
 def x_high_low(spark: SparkSession, folder: str) -> DataFrame:
     """Case by recognised kind; a line whose words are upper for more than 0.7 is upper as a whole."""
-    rows = words(spark, folder).filter("word_str RLIKE '^[ -~]*$'")
+    rows = words(spark, folder, "word_str").filter("word_str RLIKE '^[ -~]*$'")
     kind = F.when(F.col("word_str").rlike("^[A-Z][A-Z]+"), 2).when(F.col("word_str").rlike("^[A-Z]"), 1).otherwise(0)
     rows = rows.withColumn("kind", kind)
     share = rows.groupBy("page_id", "line_id").agg(F.avg((F.col("kind") == 2).cast("double")).alias("share"))
@@ -47,7 +47,7 @@ def x_high_low(spark: SparkSession, folder: str) -> DataFrame:
 def x_quotes(spark: SparkSession, folder: str) -> DataFrame:
     w = F.col("word_str")
     bare, at = text.without_quote(w), text.quote_position(w)
-    return words(spark, folder).select(*KEY, text.without_spaces(w).alias("no_space"), bare.alias("bare"), at.alias("quote_at"), text.with_quote(bare, at).alias("back"))
+    return words(spark, folder, "word_str").select(*KEY, text.without_spaces(w).alias("no_space"), bare.alias("bare"), at.alias("quote_at"), text.with_quote(bare, at).alias("back"))
 
 
 def x_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,14 +58,14 @@ def x_split(spark: SparkSession, folder: str) -> DataFrame:
 def x_edit_distance(spark: SparkSession, folder: str) -> DataFrame:
     """Distance of each ASCII word to the lexicon words of its first letter and length."""
     lexicon = table(spark, folder, "lexicon").filter("lang = 'en' AND word RLIKE '^[ -~]*$'").select(F.lower("word").alias("word")).distinct()
-    seen = words(spark, folder).filter("word_str RLIKE '^[a-z]+$'").select(F.col("word_str").alias("seen")).distinct()
+    seen = words(spark, folder, "word_str").filter("word_str RLIKE '^[a-z]+$'").select(F.col("word_str").alias("seen")).distinct()
     same = (F.left("seen", F.lit(1)) == F.left("word", F.lit(1))) & (F.length("seen") == F.length("word"))
     return seen.join(lexicon, same).select("seen", "word", F.levenshtein("seen", "word").alias("distance"))
 
 
 def x35_path_text(spark: SparkSession, folder: str) -> DataFrame:
     """Class ids of ASCII letters back to text by a label table."""
-    rows = words(spark, folder).filter("word_str RLIKE '^[!-~]+$'")
+    rows = words(spark, folder, "word_str").filter("word_str RLIKE '^[!-~]+$'")
     labels = F.array(*[F.lit(chr(c)) for c in range(33, 127)])
     path = F.transform(text.code_points(F.col("word_str")), lambda c: c - 33)
     return rows.select(*KEY, text.text_of_path(path, labels).alias("read"))
@@ -74,7 +74,7 @@ def x35_path_text(spark: SparkSession, folder: str) -> DataFrame:
 def e_accounts(spark: SparkSession, folder: str) -> DataFrame:
     """The first web address, mail address or telephone number of each line and document."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text"))
-    rows = lines(spark, folder).select(F.concat_ws("/", "page_id", F.col("line_id").cast("string")).alias("id"), F.col("line_str").alias("text"))
+    rows = lines(spark, folder, "line_str").select(F.concat_ws("/", "page_id", F.col("line_id").cast("string")).alias("id"), F.col("line_str").alias("text"))
     names = table(spark, folder, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("see http://www.a-b.com/"), "c_name", F.lit("?x=1 or call 13912345678")).alias("text"))
     mails = table(spark, folder, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("to "), F.col("s_suppkey").cast("string"), F.lit("_x@mail.example.org, 15800001111")).alias("text"))
     everything = docs.unionByName(rows).unionByName(names).unionByName(mails)
@@ -84,7 +84,7 @@ def e_accounts(spark: SparkSession, folder: str) -> DataFrame:
 
 def e_keywords(spark: SparkSession, folder: str) -> DataFrame:
     """Lexicon words of six letters or more that a page holds, by category (language), once each."""
-    pages = lines(spark, folder).filter("line_str IS NOT NULL").select("page_id", F.explode(F.split(F.lower("line_str"), "[^a-zà-ÿа-яё]+")).alias("token"))
+    pages = lines(spark, folder, "line_str").filter("line_str IS NOT NULL").select("page_id", F.explode(F.split(F.lower("line_str"), "[^a-zà-ÿа-яё]+")).alias("token"))
     lexicon = table(spark, folder, "lexicon").filter("length(word) >= 6").select(F.lower("word").alias("token"), F.col("lang").alias("category"))
     return pages.join(lexicon, "token").select("page_id", "category", F.col("token").alias("keyword")).distinct()
 
