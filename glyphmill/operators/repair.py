@@ -158,3 +158,108 @@ def char_boxes_by_frames(row: dict) -> list[dict]:
     right = row["box_left"] + row["wid"]
     last = min(right - x[-1], sum(widths) // len(widths)) if widths else right - x[-1]
     return [{"char_id": i, "box_left": a, "wid": max(1, w)} for i, (a, w) in enumerate(zip(x, [*widths, last]))]
+
+
+def row_noise_removed(rects: list[dict], small: float = 0.3) -> list[dict]:
+    """Boxes of one row without noise: those whose sides are both under ``small`` of the row's median height go,
+    unless they stand above or below another box, as dots and accents do; boxes that share most of their width join."""
+    if not rects:
+        return []
+    heights = sorted(r["hei"] for r in rects)
+    size = heights[len(heights) // 2] * small
+    out: list[dict] = []
+    for r in sorted(rects, key=lambda r: (r["box_left"], r["box_top"])):
+        tiny = r["wid"] < size and r["hei"] < size
+        over = [o for o in rects if o is not r and min(o["box_left"] + o["wid"], r["box_left"] + r["wid"]) > max(o["box_left"], r["box_left"])]
+        if tiny and not over:
+            continue
+        if out:
+            last = out[-1]
+            shared = min(last["box_left"] + last["wid"], r["box_left"] + r["wid"]) - max(last["box_left"], r["box_left"])
+            if shared > 0.5 * min(last["wid"], r["wid"]):
+                left, top = min(last["box_left"], r["box_left"]), min(last["box_top"], r["box_top"])
+                right, low = max(last["box_left"] + last["wid"], r["box_left"] + r["wid"]), max(last["box_top"] + last["hei"], r["box_top"] + r["hei"])
+                out[-1] = dict(last, box_left=left, box_top=top, wid=right - left, hei=low - top)
+                continue
+        out.append(dict(r))
+    return out
+
+
+def split_at_punctuation(path: list[int], spans: list[tuple[int, int]], punctuation: set[int], skipped: set[int] = frozenset()) -> list[tuple[list[int], int, int]]:
+    """Sub-words of a word read frame by frame: (labels, first frame, last frame).
+
+    Every punctuation label is a sub-word of its own; words that hold a label of
+    ``skipped`` give none; a word of punctuation alone stays whole, once.
+    """
+    if not path or skipped & set(path):
+        return []
+    if all(k in punctuation for k in path):
+        return [(list(path), spans[0][0], spans[-1][1])]
+    out: list[tuple[list[int], int, int]] = []
+    joined = False
+    for k, (a, b) in zip(path, spans):
+        if k in punctuation:
+            out.append(([k], a, b))
+            joined = False
+        elif joined:
+            out[-1] = ([*out[-1][0], k], out[-1][1], b)
+        else:
+            out.append(([k], a, b))
+            joined = True
+    return out
+
+
+def read_label_stream(stream: list[int], separator: int = -1, shift: int = 2) -> list[list[int]]:
+    """Label paths of a batch from one stream: results end at ``separator``; labels below ``shift`` (end and start marks) are dropped, an end mark ends a result."""
+    out: list[list[int]] = [[]]
+    ended = False
+    for k in stream:
+        if k == separator:
+            out.append([])
+            ended = False
+        elif ended:
+            continue
+        elif k >= shift:
+            out[-1].append(k - shift)
+        elif k == shift - 1:
+            ended = True
+    if stream and stream[-1] == separator:
+        out.pop()
+    return out
+
+
+def legacy_check_scores(word: str, suggestions: list[tuple[str, int]]) -> list[tuple[str, float]]:
+    """Suggestions of a word with their scores 1 - d / (length + 5).
+
+    An apostrophe is taken out before and put back after, a punctuation mark at the
+    end is kept behind every suggestion.
+    """
+    core = word.rstrip(".,;:!?")
+    tail = word[len(core) :]
+    at = core.find("'") if core.count("'") == 1 else -1
+    bare = core.replace("'", "") if at >= 0 else core
+    out = []
+    for text, d in suggestions:
+        shown = text[:at] + "'" + text[at:] if 1 <= at <= len(text) else text
+        out.append((shown + tail, 1 - d / (len(bare) + 5)))
+    return out
+
+
+def alternative_readings(words: list[dict], alternates: list[dict], least: float = -3.5) -> list[dict]:
+    """Readings of whole lines by attention added to their words' candidates.
+
+    An alternate joins a word if it has the same text without blanks, or is the
+    word without one unsure character; those under ``least`` are left out, and each
+    text is added once, with the greater log probability.
+    """
+    out = []
+    for w in words:
+        plain = w["word_str"].replace(" ", "")
+        shorter = {plain[:i] + plain[i + 1 :] for i, p in enumerate(w.get("char_probs") or []) if p < (0.8 if i in (0, len(plain) - 1) else 0.4)}
+        found: dict[str, float] = {}
+        for a in alternates:
+            text = a["word_str"].replace(" ", "")
+            if a["log_prob"] >= least and (text == plain or text in shorter) and a["word_str"] != w["word_str"]:
+                found[a["word_str"]] = max(found.get(a["word_str"], -1e9), a["log_prob"])
+        out.append(dict(w, alternates=sorted(found.items(), key=lambda x: (-x[1], x[0]))))
+    return out

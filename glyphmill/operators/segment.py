@@ -48,10 +48,12 @@ def adaptive_groups(rects: list[dict], aspect: float = 2.0, even: float = 0.15,
     return [(a, b) for a, b, _ in out]
 
 
-def word_groups(words: DataFrame) -> DataFrame:
-    """(page_id, line_id, grp, first_word, last_word) of :func:`adaptive_groups` on every line."""
+def word_groups(words: DataFrame, whole: bool = False) -> DataFrame:
+    """(page_id, line_id, grp, first_word, last_word) of :func:`adaptive_groups` on every line; with ``whole`` a line is one group."""
 
     def fn(g: list[dict]) -> list[dict]:
+        if whole:
+            return [{"page_id": g[0]["page_id"], "line_id": g[0]["line_id"], "grp": 0, "first_word": g[0]["word_id"], "last_word": g[-1]["word_id"]}]
         return [{"page_id": g[0]["page_id"], "line_id": g[0]["line_id"], "grp": i, "first_word": g[a]["word_id"], "last_word": g[b]["word_id"]} for i, (a, b) in enumerate(adaptive_groups(g))]
 
     cols = ["page_id", "line_id", "word_id", "box_left", "box_top", "wid", "hei"]

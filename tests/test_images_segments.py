@@ -155,3 +155,26 @@ def test_second_readings_and_char_boxes():
     assert repair.second_readings([0], [0.0, 0.4, 0.6, 0.0], 4, 0.0) == [([], pytest.approx(math.log(0.4) - math.log(0.6)))]
     boxes = repair.char_boxes_by_frames({"box_left": 0, "wid": 100, "frames": 10, "spans": [0, 3, 6]})
     assert [(b["box_left"], b["wid"]) for b in boxes] == [(0, 30), (30, 30), (60, 30)] and repair.char_boxes_by_frames({"box_left": 0, "wid": 1, "frames": 1, "spans": []}) == []
+
+
+def test_row_noise_and_sub_words():
+    row = [box(0, 0, 10, 20), box(2, -6, 3, 3), box(30, 0, 10, 20), box(60, 5, 2, 2)]
+    assert [(r["box_left"], r["box_top"], r["hei"]) for r in repair.row_noise_removed(row)] == [(0, -6, 26), (30, 0, 20)]
+    assert repair.row_noise_removed([]) == []
+    assert repair.split_at_punctuation([1, 9, 2, 3], [(0, 1), (2, 2), (3, 4), (5, 6)], {9}) == [([1], 0, 1), ([9], 2, 2), ([2, 3], 3, 6)]
+    assert repair.split_at_punctuation([9, 9], [(0, 0), (1, 1)], {9}) == [([9, 9], 0, 1)] and repair.split_at_punctuation([1, 8], [(0, 0), (1, 1)], {9}, {8}) == []
+
+
+def test_label_streams_and_alternates():
+    assert repair.read_label_stream([2, 3, 1, 7, -1, 5, -1]) == [[0, 1], [3]] and repair.read_label_stream([]) == [[]]
+    assert repair.legacy_check_scores("dont.", [("dont", 0)]) == [("dont.", 1.0)]
+    assert repair.legacy_check_scores("do'nt", [("dont", 1)]) == [("do'nt", pytest.approx(1 - 1 / 9))]
+    words = [{"word_str": "a bc", "char_probs": [0.9, 0.3, 0.9]}]
+    alternates = [{"word_str": "abc", "log_prob": -1.0}, {"word_str": "ac", "log_prob": -2.0}, {"word_str": "ab", "log_prob": -2.0}, {"word_str": "abc", "log_prob": -9.0}]
+    assert repair.alternative_readings(words, alternates)[0]["alternates"] == [("abc", -1.0), ("ac", -2.0)]
+
+
+def test_whole_rows(spark):
+    df = spark.createDataFrame([box(500 * i, 100 * i, 100, 10, i) for i in range(3)])
+    assert [(r.first_word, r.last_word) for r in segment.word_groups(df, whole=True).collect()] == [(0, 2)]
+    assert segment.word_groups(df).count() == 3
