@@ -25,7 +25,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_word_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The valid word records, typed."""
-    rows = table(spark, folder, "word_rows").select("row_id", "raw").dropDuplicates(["row_id"])
+    rows = table(spark, folder, "word_rows").select("row_id", "raw").distinct()
     parsed = parse_word_rows(rows).filter(F.col("reason").isNull())
     return parsed.select("row_id", *[F.col(f"word.{n}").alias(n) for n in WORD_FIELDS])
 
@@ -44,11 +44,13 @@ def p4_faults(spark: SparkSession, folder: str) -> DataFrame:
 def result_records(spark: SparkSession, folder: str) -> DataFrame:
     """``response_id`` and the JSON text of each valid result, repeats once."""
     answers = table(spark, folder, "responses").select("response_id", "result", "result_type").filter("result IS NOT NULL")
-    answers = parse_responses(answers.dropDuplicates(["response_id"]), text="json")
+    # repeats are equal in these columns; answers without an id stay apart from each other
+    answers = parse_responses(answers.distinct(), text="json")
     return answers.filter(F.col("json").isNotNull()).select("response_id", "json")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions of all elements of valid results; answers without an id each give theirs, with a null id."""
     records = nested.to_variant(result_records(spark, folder), "json")
     rows = nested.explode_levels(records, "value", RESULT_LEVELS, RESULT_ORDINALS)
     return rows.select("response_id", *[F.col(c).cast(T.IntegerType()).alias(c) for c in RESULT_ORDINALS])
