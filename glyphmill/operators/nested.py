@@ -48,6 +48,58 @@ class Node:
         return out
 
 
+#: Type of a column of (path, kind) pairs.
+PAIRS_TYPE = "array<struct<path: array<string>, kind: string>>"
+
+
+def pairs_of(value) -> list[dict]:
+    """The (path, kind) pairs of one parsed value."""
+    seen: set = set()
+    _kinds(value, (), seen)
+    return [{"path": list(path), "kind": kind} for path, kind in sorted(seen)]
+
+
+def merged(df: DataFrame, pairs: str) -> Node:
+    """The merged schema of a column of :func:`pairs_of` results, over all rows.
+
+    What comes to the driver is bounded by MAX_PATHS, else this raises.
+    """
+    rows = df.select(F.explode(pairs).alias("p")).select("p.path", "p.kind").distinct().limit(8 * MAX_PATHS + 1).collect()
+    return _tree([(r.path, r.kind) for r in rows])
+
+
+def _tree(pairs: list[tuple[list[str], str]]) -> Node:
+    if len(pairs) > 8 * MAX_PATHS:
+        raise ValueError("too many paths for a schema")
+    root = Node()
+    for path, kind in pairs:
+        node = root
+        for name in path:
+            node = node.members.setdefault(name, Node())
+        node.kinds.add(kind)
+    return root
+
+
+def levels_to(schema: Node, path: tuple[str, ...], single: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    """The array levels of the merged schema down to ``path``, each relative to the one above.
+
+    Members named in ``single`` count as levels even if all records hold single
+    elements without their list. Ends early where no record has the next member.
+    """
+    out: list[tuple[str, ...]] = []
+    step: tuple[str, ...] = ()
+    node = schema
+    for name in path:
+        if name not in node.members:
+            break
+        node = node.members[name]
+        step = (*step, name)
+        if node.is_array or (name in single and node.kinds):
+            out.append(step)
+            step = ()
+    return out
+
+
 def _kinds(value, path: tuple[str, ...], seen: set) -> None:
     todo = [(value, path)]
     while todo:
@@ -90,15 +142,7 @@ def infer(df: DataFrame, text: str) -> Node:
         )
 
     pairs = df.select(text).mapInArrow(run, "path array<string>, kind string").distinct().limit(8 * MAX_PATHS + 1).collect()
-    if len(pairs) > 8 * MAX_PATHS:
-        raise ValueError("too many paths for a schema")
-    root = Node()
-    for path, kind in pairs:
-        node = root
-        for name in path:
-            node = node.members.setdefault(name, Node())
-        node.kinds.add(kind)
-    return root
+    return _tree([(r.path, r.kind) for r in pairs])
 
 
 def _json_path(names: tuple[str, ...]) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from glyphmill.operators import json_grammar
+from glyphmill.operators import json_grammar, nested
 from glyphmill.operators.arrow_map import append_columns
 from glyphmill.operators.row_grammar import Fault, RowGrammar
 
@@ -198,21 +198,25 @@ def read_response(result: str, kind: str | None):
     return json_grammar.dump(tree) if repeated else text, tree
 
 
-def parse_responses(df: DataFrame, result: str = "result", kind: str = "result_type", text: str | None = None) -> DataFrame:
+def parse_responses(df: DataFrame, result: str = "result", kind: str = "result_type", text: str | None = None, pairs: str | None = None) -> DataFrame:
     """``df`` with ``reason`` (null if valid or if the result is null), ``fault_at`` and ``fault``.
 
     With ``text``, a column of that name gets the JSON text of a valid result
-    (decoded from base64, and with the last of repeated members alone), else null.
+    (decoded from base64, and with the last of repeated members alone), else null;
+    with ``pairs``, one of that name gets the (path, kind) pairs of a valid result.
     """
-    added = T.StructType(FAULT_FIELDS + ([T.StructField(text, T.StringType())] if text else []))
+    pairs_type = T._parse_datatype_string(nested.PAIRS_TYPE)
+    more = ([T.StructField(text, T.StringType())] if text else []) + ([T.StructField(pairs, pairs_type)] if pairs else [])
+    added = T.StructType(FAULT_FIELDS + more)
+    pairs_arrow = to_arrow_schema(T.StructType([T.StructField("p", pairs_type)]))[0].type
 
     def make():
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            reasons, ats, faults, texts = [], [], [], []
+            reasons, ats, faults, texts, kinds_seen = [], [], [], [], []
             results = batch.column(batch.schema.get_field_index(result)).to_pylist()
             kinds = batch.column(batch.schema.get_field_index(kind)).to_pylist()
             for value, how in zip(results, kinds):
-                fault, json_text = None, None
+                fault, json_text, tree = None, None, None
                 if value is not None:
                     try:
                         json_text, tree = read_response(value, how)
@@ -223,8 +227,9 @@ def parse_responses(df: DataFrame, result: str = "result", kind: str = "result_t
                 ats.append(fault.offset if fault else None)
                 faults.append(fault.message if fault else None)
                 texts.append(None if fault else json_text)
+                kinds_seen.append(None if fault or tree is None or not pairs else nested.pairs_of(tree))
             out = [pa.array(reasons, pa.string()), pa.array(ats, pa.int32()), pa.array(faults, pa.string())]
-            return out + ([pa.array(texts, pa.string())] if text else [])
+            return out + ([pa.array(texts, pa.string())] if text else []) + ([pa.array(kinds_seen, pairs_arrow)] if pairs else [])
 
         return compute
 

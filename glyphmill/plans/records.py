@@ -10,8 +10,8 @@ from glyphmill.operators import nested
 from glyphmill.operators.parse_rows import WORD_FIELDS, parse_responses, parse_word_rows
 from glyphmill.sources.tables import table
 
-#: The array levels of a service result from the outside in, and the names of their positions.
-RESULT_LEVELS = [("ret",), ("charset",), ("candidate",)]
+#: The members of a service result that are lists by its format, from the outside in, and the names of their positions.
+RESULT_PATH = ("ret", "charset", "candidate")
 RESULT_ORDINALS = ["ret_no", "char_no", "cand_no"]
 
 
@@ -49,17 +49,27 @@ def result_records(spark: SparkSession, folder: str) -> DataFrame:
     return answers.filter(F.col("json").isNotNull()).select("response_id", "json")
 
 
+def result_schema(spark: SparkSession, folder: str) -> nested.Node:
+    """The merged schema of all valid results: a pass of its own over the answers."""
+    answers = table(spark, folder, "responses").select("result", "result_type").filter("result IS NOT NULL")
+    return nested.merged(parse_responses(answers, pairs="pairs").filter(F.col("pairs").isNotNull()), "pairs")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Positions of all elements of valid results; answers without an id each give theirs, with a null id."""
+    levels = nested.levels_to(result_schema(spark, folder), RESULT_PATH, single=RESULT_PATH)
+    if not levels:
+        return spark.createDataFrame([], "response_id long, ret_no int, char_no int, cand_no int")
     records = nested.to_variant(result_records(spark, folder), "json")
-    rows = nested.explode_levels(records, "value", RESULT_LEVELS, RESULT_ORDINALS)
-    return rows.select("response_id", *[F.col(c).cast(T.IntegerType()).alias(c) for c in RESULT_ORDINALS])
+    rows = nested.explode_levels(records, "value", levels, RESULT_ORDINALS[: len(levels)])
+    ordinals = [(F.col(c) if i < len(levels) else F.lit(-1)).cast(T.IntegerType()).alias(c) for i, c in enumerate(RESULT_ORDINALS)]
+    return rows.select("response_id", *ordinals)
 
 
 def _child(path: tuple[str, ...]):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         texts = result_records(spark, folder)
-        schema = nested.infer(texts, "json")
+        schema = result_schema(spark, folder)
         if path and not _has(schema, path):
             return spark.createDataFrame([], "parent_id string, row_id string, ordinal int")
         records = nested.to_variant(texts, "json")

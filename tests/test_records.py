@@ -175,7 +175,7 @@ def test_responses_cases_and_elements(spark):
     got = {r.response_id: r for r in parse_responses(df, text="json").collect()}
     assert [got[i].reason for i in range(len(RESPONSES))] == [plain_reason(r, "json")[0] for r in RESPONSES]
     valid = parse_responses(df, text="json").filter("json IS NOT NULL").drop("value")
-    rows = nested.explode_levels(nested.to_variant(valid, "json"), "value", records.RESULT_LEVELS, records.RESULT_ORDINALS)
+    rows = nested.explode_levels(nested.to_variant(valid, "json"), "value", [(n,) for n in records.RESULT_PATH], records.RESULT_ORDINALS)
     got = sorted((r.response_id, r.ret_no, r.char_no, r.cand_no) for r in rows.collect())
     want = sorted((i, *e) for i, r in enumerate(RESPONSES) if plain_reason(r, "json") != (None, None) and plain_reason(r, "json")[0] is None for e in plain_elements(plain_reason(r, "json")[1]))
     assert got == want
@@ -224,3 +224,14 @@ def test_infer_merges_kinds_and_survives_bad_text(spark):
     schema = nested.infer(df, "t")
     assert schema.arrays() == [("a",)] and schema.members["a"].members["b"].kinds == {"number", "string"}
     assert nested.infer(df.limit(0), "t").members == {}
+
+
+def test_levels_come_from_the_merged_schema(spark):
+    texts = ['{"ret": [{"x": {"y": [1, [2]]}}], "q": 1}', '{"ret": {"charset": {"candidate": "a"}}}', "no"]
+    df = spark.createDataFrame([(t, "json") for t in texts], "result string, result_type string")
+    schema = nested.merged(parse_responses(df, pairs="pairs").filter("pairs IS NOT NULL"), "pairs")
+    assert nested.levels_to(schema, ("ret", "x", "y")) == [("ret",), ("x", "y")]
+    assert nested.levels_to(schema, records.RESULT_PATH) == [("ret",)]
+    assert nested.levels_to(schema, records.RESULT_PATH, records.RESULT_PATH) == [("ret",), ("charset",), ("candidate",)]
+    assert nested.levels_to(schema, ("q", "z")) == [] and nested.levels_to(nested.Node(), ("a",)) == []
+    assert schema.members == nested.infer(df, "result").members
