@@ -360,7 +360,13 @@ def restore(text: str | None) -> tuple[bool, str | None, list[str]]:
 
 
 def find_damage(df: DataFrame, text: str = "text", affected: str = "affected", restored: str = "restored", steps: str = "steps") -> DataFrame:
-    """``df`` with ``affected``, ``restored`` (the text, repaired where it can be) and ``steps``."""
+    """``df`` with ``affected``, ``restored`` (the text, repaired where it can be) and ``steps``.
+
+    Null, empty and blank texts are not affected and stay as they are. Every row and
+    every other column is kept, repeated rows give repeated results, and a column
+    that bears an added name is replaced. Of readings that cover equally much of a
+    text the first of READ_AS is taken.
+    """
     added = T.StructType(
         [T.StructField(affected, T.BooleanType()), T.StructField(restored, T.StringType()), T.StructField(steps, T.ArrayType(T.StringType()))]
     )

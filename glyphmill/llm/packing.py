@@ -132,7 +132,9 @@ def pack(
 
     ``at`` is where the piece begins within its container. A container never
     holds more than ``capacity`` tokens. Ids of containers are unique but not
-    dense; which container a text gets depends on how the input is split.
+    dense; which container a text gets depends on how the input is split. Null keys
+    are kept, repeated rows are packed each, columns other than key and text are left
+    out; of containers that fit equally well the older one is taken.
     """
     source = encoder_source(df.sparkSession, path or os.path.join(TOKENIZERS, BYTE_BPE_50K))
     key_type = df.schema[key]

@@ -421,7 +421,13 @@ def corrections(doubtful: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def find_noise(text_lines: DataFrame, scan_pages: DataFrame, books: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Rows (page_id, line_id, kind), kind being furniture, broken or misread."""
+    """Rows (page_id, line_id, kind), kind being furniture, broken or misread.
+
+    Lines of equal page_id and line_id count once (nulls are equal), columns beyond
+    those named in :func:`lines_in_order` are not looked at, a null box counts as 0,
+    and a page of unknown language has no words to be broken or misread. Of equally
+    likely replacements the first in order is taken.
+    """
     lines = cut(read_lines(lines_in_order(text_lines, scan_pages, books), lexicon, text_lines.count()))
     edges = edge_pairs(lines, lexicon)
     doubtful = doubtful_tokens(lines, edges)
