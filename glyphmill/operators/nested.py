@@ -163,9 +163,12 @@ def explode_levels(df: DataFrame, value: str, levels: list[tuple[str, ...]], ord
     ``levels`` holds the path of each array level, relative to its parent
     element; ``ordinals`` names its position column. Rows of level k have -1 in
     the ordinals below it; ``node`` is the element (a variant). Null elements
-    give no row; the records themselves give none either.
+    give no row; the records themselves give none either. Other columns are kept; one
+    that bears the name of an ordinal or of ``node`` is replaced. Null values and
+    records without the members give no rows, repeated records repeated ones.
     """
-    out = df.withColumn(node, F.col(value)).drop(value) if value != node else df
+    out = df.drop(*[c for c in ordinals if c != value])
+    out = out.withColumn(node, F.col(value)).drop(value) if value != node else out
     last = None
     for path, ordinal in zip(levels, ordinals):
         self_row = F.array(F.struct(F.lit(-1).alias("at"), F.col(node).alias("v")))

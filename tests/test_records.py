@@ -226,6 +226,12 @@ def test_infer_merges_kinds_and_survives_bad_text(spark):
     assert nested.infer(df.limit(0), "t").members == {}
 
 
+def test_exploding_keeps_other_columns_and_replaces_clashing_ones(spark):
+    df = spark.createDataFrame([(1, '{"ret": ["a", null, "b"]}', "kept", 7), (1, None, "kept", 7), (2, "{}", "kept", 7)], "response_id long, json string, node string, ret_no int").withColumn("more", F.col("node"))
+    rows = nested.explode_levels(nested.to_variant(df, "json"), "value", [("ret",)], ["ret_no"])
+    assert [(r.response_id, r.ret_no, r.more) for r in rows.select("response_id", "ret_no", "more").collect()] == [(1, 0, "kept"), (1, 2, "kept")]
+
+
 def test_levels_come_from_the_merged_schema(spark):
     texts = ['{"ret": [{"x": {"y": [1, [2]]}}], "q": 1}', '{"ret": {"charset": {"candidate": "a"}}}', "no"]
     df = spark.createDataFrame([(t, "json") for t in texts], "result string, result_type string")
