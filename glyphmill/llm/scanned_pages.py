@@ -60,7 +60,8 @@ def lines_in_order(text_lines: DataFrame, scan_pages: DataFrame, books: DataFram
     """Lines with the volume and page number of their page, sorted in reading order within ranges."""
     pages = scan_pages.select("page_id", "volume_no", "page_seq").dropDuplicates(["page_id"])
     langs = books.select("book_id", F.col("lang").alias("lang"))
-    rows = text_lines.select("page_id", "line_id", "book_id", "box_left", "box_top", "wid", "hei", "img_w", "img_h", "line_str")
+    # copies of a line go first, so that no range holds them all
+    rows = text_lines.select("page_id", "line_id", "book_id", "box_left", "box_top", "wid", "hei", "img_w", "img_h", "line_str").distinct()
     rows = rows.join(pages, "page_id", "left").join(langs, "book_id", "left").select(*LINE_COLUMNS)
     order = ["book_id", "volume_no", "page_seq", "page_id"]
     cut_at = (F.col("line_id") / WHOLE_PAGE).cast("int")
