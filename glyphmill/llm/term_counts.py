@@ -5,10 +5,12 @@ rows of a record are contiguous, and each task keeps for every term it meets its
 occurrences, its records and the last record it was seen in; a record counts
 when it differs from the last one. No set of records is kept for any term.
 
-A record may be cut by a partition border, so the first and the last record of a
-partition are reported by name and told apart once more; the rest is plain sums.
-Skew does no harm: a hot record is spread over several partitions by the other
-key columns, and a hot term leaves a task as one row (plus two for its borders).
+A record, and even the copies of one row, may be cut by a partition border, so the
+first and the last record of a partition, and its first and last row, are reported
+by name and told apart once more; the rest is plain sums. Skew does no harm: a hot
+record is spread over several partitions by the other key columns, a large group of
+copies by a number of its own, and a hot term leaves a task as one row (plus those
+for its borders).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ MAX_TERMS = 1_000_000
 RARE_RECORDS = 2
 COMMON_SHARE = 0.4
 
-_SCHEMA = "term string, occurrences long, records long, border string"
+_SCHEMA = "term string, occurrences long, records long, border string, row_key string"
 
 
 class LastSeen:
@@ -86,8 +88,16 @@ class LastSeen:
     def full(self) -> bool:
         return len(self._terms) > self._max
 
-    def drain(self, current: int, current_name: str | None, first_name: str | None, end: bool):
-        """Rows of all counters so far, without the open record unless this is the end; forgets them."""
+    def drain(self, current: int, current_name: str | None, first_name: str | None, border_rows: dict[str, str | None] | None = None):
+        """Rows of all counters so far, without the open record unless this is the end; forgets them.
+
+        At the end, ``border_rows`` has the key and term of the partition's first and last row.
+        """
+        end = border_rows is not None
+        for term in (border_rows or {}).values():  # these count by name
+            self._occ[self._code(term) if term else 0] -= 1
+            if term:
+                self._occ[0] -= 1
         n = len(self._terms)
         occ, first = self._occ[:n], self._first[:n]
         in_current = self._last[:n] == current
@@ -100,10 +110,13 @@ class LastSeen:
             at = np.flatnonzero(mask)
             if len(at):
                 zero = np.zeros(len(at), np.int64)
-                rows.append((terms.take(pa.array(at)), zero, zero, pa.array([name or ""] * len(at), pa.string())))
-        batches = [
-            pa.RecordBatch.from_arrays([t, pa.array(o), pa.array(r), b], names=["term", "occurrences", "records", "border"]) for t, o, r, b in rows
-        ]
+                rows.append((terms.take(pa.array(at)), zero, zero, pa.array([repr(name)] * len(at), pa.string())))
+        names = ["term", "occurrences", "records", "border", "row_key"]
+        batches = [pa.RecordBatch.from_arrays([t, pa.array(o), pa.array(r), b, pa.nulls(len(t), pa.string())], names=names) for t, o, r, b in rows]
+        for key, term in (border_rows or {}).items():
+            both = [term, None] if term else [None]
+            zeros = pa.array([0] * len(both), pa.int64())
+            batches.append(pa.RecordBatch.from_arrays([pa.array(both, pa.string()), zeros, zeros, pa.nulls(len(both), pa.string()), pa.array([key] * len(both), pa.string())], names=names))
         if not end:
             keep = [self._terms[i] for i in np.flatnonzero(in_current)]
             self.__init__(self._max)
@@ -123,6 +136,12 @@ def _changes(column: pa.Array, before) -> tuple[np.ndarray, object]:
     return out, column[-1].as_py()
 
 
+def _named(columns: list[pa.Array], i: int) -> tuple[str, str | None]:
+    """Key of a row as text, and its term."""
+    *key, term = (c[i].as_py() for c in columns)
+    return repr(key), term or None
+
+
 _START = object()
 
 
@@ -136,16 +155,16 @@ def term_counts(df: DataFrame, record: str, term: str, keys: list[str], max_term
     keys = [k for k in keys if k not in (record, term)]
     rows = df.select(F.col(record).cast("string").alias("record"), F.col(term).cast("string").alias("term"), *[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)])
     order = ["record", *[f"key{i}" for i in range(len(keys))]]
-    rows = rows.repartitionByRange(python_partitions(rows), *order).sortWithinPartitions(*order)
+    # the number in the file parts copies of one row, which would all fall into one range
+    rows = rows.repartitionByRange(python_partitions(rows), *order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
 
     def run(batches):
         counters = LastSeen(max_terms)
         above: list = [_START] * len(order)
-        number, first_name, name, any_row = -1, None, None, False
+        number, first_name, name, border_rows = -1, None, None, {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            any_row = True
             fresh = np.zeros(batch.num_rows, bool)
             for i, column in enumerate(order):
                 changed, above[i] = _changes(batch.column(batch.schema.get_field_index(column)), above[i])
@@ -154,18 +173,24 @@ def term_counts(df: DataFrame, record: str, term: str, keys: list[str], max_term
                 fresh |= changed
             if number < 0:
                 first_name = batch.column(batch.schema.get_field_index("record"))[0].as_py()
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in (*order, "term")]
+            if number < 0:
+                border_rows.update([_named(columns, 0)])
+            last_row = _named(columns, batch.num_rows - 1)
             numbers = number + np.cumsum(starts)
             number, name = int(numbers[-1]), above[0]
             keep = np.flatnonzero(fresh)
             counters.add(batch.column(batch.schema.get_field_index("term")).take(pa.array(keep)), numbers[keep])
             if counters.full():
-                yield from counters.drain(number, name, first_name, end=False)
-        if any_row:
-            yield from counters.drain(number, name, first_name, end=True)
+                yield from counters.drain(number, name, first_name)
+        if border_rows:
+            border_rows.setdefault(*last_row)
+            yield from counters.drain(number, name, first_name, border_rows)
 
     partial = rows.mapInArrow(run, _SCHEMA)
-    partial = partial.groupBy("term", "border").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    partial = partial.groupBy("term", "border", "row_key").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     partial = partial.withColumn("records", F.when(F.col("border").isNull(), F.col("records")).otherwise(F.lit(1)))
+    partial = partial.withColumn("occurrences", F.when(F.col("row_key").isNull(), F.col("occurrences")).otherwise(F.lit(1)))
     return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 

@@ -51,3 +51,22 @@ def test_empty_table_and_marks(spark):
     got = {(r.src, r.term): r.mark for r in term_counts.mark_terms(counts).collect()}
     assert got == {("x", "all"): "common", ("x", "half"): None, ("x", "few"): "rare", ("y", "both"): "rare"}
     assert term_counts.mark_terms(counts.filter(F.lit(False))).count() == 0
+
+
+def test_large_groups_of_copies_are_spread_and_count_once(spark):
+    rng = random.Random(8)
+    copies = [("r5", 1, 1, "hot", 0)] * 4000 + [("r6", None, None, None, 0)] * 3000
+    rows = copies + [(f"r{rng.randrange(12)}", i, 0, rng.choice("abc"), 0) for i in range(900)]
+    rng.shuffle(rows)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+        want = plain(rows)
+        assert run(spark, rows) == want
+        got = {r.term: (r.occurrences, r.records) for r in term_counts.term_counts(df, "rec", "term", ["a", "b"], max_terms=2).collect()}
+        assert got == want
+        spread = df.select("rec", "a").repartitionByRange(16, "rec", "a", "b", F.monotonically_increasing_id()).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert spread < 1500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
