@@ -19,6 +19,8 @@ _TOKEN = re.compile(
     r"|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)"
     r"|(true|false|null)|($))"
 )
+#: A member's name with its colon: the usual case, taken in one step.
+_NAME = re.compile(r'[ \t\n\r]*+"([^"\\\x00-\x1f]*+)"[ \t\n\r]*+:')
 _WORDS = {"true": True, "false": False, "null": None}
 
 
@@ -33,13 +35,15 @@ def parse(text: str, repeated: list[str] | None = None):
 
     Names of members that an object holds more than once are put into ``repeated``.
     """
-    nxt = _TOKEN.match
+    nxt, name = _TOKEN.match, _NAME.match
     at = 0
     stack: list[tuple[object, str | None]] = []
     holder: object = None  # the open object or array
     key: str | None = None
     want = "value"
     while True:
+        if (want == "key" or want == "key or close") and (m := name(text, at)):
+            key, at, want = m.group(1), m.end(), "value"
         m = nxt(text, at)
         if m is None:
             raise Fault("syntax", "no JSON token", at)
@@ -94,9 +98,13 @@ def parse(text: str, repeated: list[str] | None = None):
                 repeated.append(key)
             holder[key] = value
             want = "comma or close"
+            if text.startswith(",", at):
+                at, want = at + 1, "key"
         else:
             holder.append(value)
             want = "comma or close"
+            if text.startswith(",", at):
+                at, want = at + 1, "value"
 
 
 def dump(value) -> str:
