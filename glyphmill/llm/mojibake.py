@@ -3,7 +3,8 @@
 Characters are mapped back to the bytes of a legacy encoding. A byte-structure
 automaton (the well-formed sequences of UTF-8, or of a two-byte set) finds the
 maximal spans that are multibyte text, and only those spans are decoded anew;
-the rest of the text stays. Repeating this undoes double damage. Runs that were
+the rest of the text stays. This is repeated until nothing more is found, which
+undoes damage upon damage and damage of several kinds. Runs that were
 written in one single-byte set and read in another are found by the same
 mapping, and judged by how far the bytes read as words of the writer's script.
 
@@ -24,8 +25,6 @@ from glyphmill.operators.arrow_map import append_columns
 
 #: Encodings in which UTF-8 bytes may have been read, the likelier first.
 READ_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r"]
-#: Undoing damage upon damage ends after so many rounds.
-ROUNDS = 3
 #: A span of Chinese characters counts as UTF-8 read in GBK from this many bytes on: shorter well-formed spans arise by chance.
 MIN_GBK_BYTES = 12
 
@@ -331,28 +330,36 @@ _SUSPECT = re.compile("[^\x00-\x7f]")
 
 
 def restore(text: str | None) -> tuple[bool, str | None, list[str]]:
-    """(affected, text with the damaged spans restored, what was undone in each round)."""
+    """(affected, text with the damaged spans restored, what was undone in each round).
+
+    A round undoes the encoding that covers most of the text, as spans of others
+    may be chance until it is gone. It ends when no finder has a span, or when a
+    round would lead back to a text that was there before.
+    """
     if not text or not _SUSPECT.search(text):
         return False, text, []
     steps: list[str] = []
-    for _ in range(ROUNDS):
-        best_name, best, weight = "", [], 0
+    met = {text}
+    while True:
+        best_name, new = "", text
         finders = [(f"utf-8 read as {c}", _utf8_spans, c) for c in READ_AS]
         finders += [("utf-8 read as gbk", _gbk_spans, None), ("upper bytes read as cp1252", _high_runs, None)]
-        for name, find, codec in finders:
-            spans = find(codec, text) if codec else find(text)
-            covered = sum(end - start for start, end, _ in spans)
-            if covered > weight:
-                best_name, best, weight = name, spans, covered
-        if not best:
+        found = [(name, find(codec, text) if codec else find(text)) for name, find, codec in finders]
+        found.sort(key=lambda f: -sum(end - start for start, end, _ in f[1]))
+        for name, spans in found:
+            if spans and (changed := _apply(text, spans)) not in met:
+                best_name, new = name, changed
+                break
+        if not best_name:
             for name, find in (("cp1252 read as cp1251", _western_in_cyrillic), ("one Cyrillic set read as another", _swapped_cyrillic)):
-                best = find(text)
-                if best:
-                    best_name = name
+                spans = find(text)
+                if spans and (changed := _apply(text, spans)) not in met:
+                    best_name, new = name, changed
                     break
-        if not best:
+        if not best_name:
             break
-        text = _apply(text, best)
+        text = new
+        met.add(text)
         steps.append(best_name)
     if "\ufffd" in text:
         steps.append("bytes lost")

@@ -49,6 +49,18 @@ def test_double_damage_and_parts():
     assert restore("Fine naïve text. " + damage("Änderung", "utf-8", "cp1252") + " ½ fine.")[1] == "Fine naïve text. Änderung ½ fine."
 
 
+def test_more_kinds_of_damage_than_three():
+    lines = [(FRENCH, "cp1252", "cp1252"), (GERMAN, "mac_roman"), (GERMAN, "cp437"), (FRENCH, "cp1250")]
+    bad = []
+    for text, *reads in lines:
+        for read in reads:
+            text = damage(text, "utf-8", read)
+        bad.append(text)
+    bad.append(damage("la contraseña según el catálogo", "cp1252", "cp1251"))  # found only when no other kind is left
+    affected, restored, steps = restore("\n".join(bad))
+    assert affected and restored == "\n".join([*(line[0] for line in lines), "la contraseña según el catálogo"]) and len(steps) > 3
+
+
 def test_western_in_cyrillic_and_lost_bytes():
     assert restore(damage("la contraseña según el catálogo", "cp1252", "cp1251"))[:2] == (True, "la contraseña según el catálogo")
     assert restore("costs 64Ђ – note")[1] == "costs 64€ – note"
