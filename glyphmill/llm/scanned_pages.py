@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterable
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -462,9 +464,10 @@ def _corrected(word: str, fixes: dict[str, str]) -> str:
     return word[:at] + right + word[at + len(core) :]
 
 
-def joined_lines(lines: list[tuple[str, bool, dict[str, str]]], known: set[str]) -> str:
+def joined_lines(lines: Iterable[tuple[str, bool, dict[str, str]]], known: set[str]) -> str:
     """Lines (text, broken, corrections) as one text: broken words whole, misread ones replaced."""
-    out = ""
+    done: list[str] = []
+    last: str | None = None  # the word that may go on
     glue = False
     for text, broken, fixes in lines:
         words = [_corrected(w, fixes) for w in text.split()]
@@ -475,26 +478,29 @@ def joined_lines(lines: list[tuple[str, bool, dict[str, str]]], known: set[str])
                 words.pop()
         shown = " ".join(words)
         if glue:
-            last, first = out.rsplit(" ", 1)[-1], words[0]
-            bare_last = last.rstrip(_SIGNS)
+            bare_last, first = last.rstrip(_SIGNS), words[0]
             hyphen = bare(bare_last + first) not in known and bare(f"{bare_last}-{first}") in known
-            out = out[: len(out) - len(last)] + bare_last + ("-" if hyphen else "") + shown
-        else:
-            out = f"{out} {shown}" if out else shown
+            shown = bare_last + ("-" if hyphen else "") + shown
+        elif last is not None:
+            done.append(last)
+        rest, space, last = shown.rpartition(" ")
+        if space:
+            done.append(rest)
         glue = broken
-    return out
+    return " ".join(done if last is None else [*done, last])
 
 
-#: A paragraph that shows no new beginning for so many lines is ended.
-LONGEST_PARAGRAPH = 2000
+#: Paragraphs of about so many characters leave a task together.
+BATCH_CHARS = 1_000_000
 
 
 def paragraphs(text_lines: DataFrame, scan_pages: DataFrame, books: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Running text in reading order: (book_id, volume_no, page_id, line_id, n_lines, text) of each paragraph.
 
     ``page_id`` and ``line_id`` are those of its first line. A paragraph begins at a
-    line that is set in, at a new volume, or after LONGEST_PARAGRAPH lines. Furniture
-    is left out, broken words are joined, misread ones replaced, look-alikes plain.
+    line that is set in or at a new volume, and is whole however long it is: its lines
+    are joined as they stream by. Furniture is left out, broken words are joined,
+    misread ones replaced, look-alikes plain.
     """
     lines = cut(read_lines(lines_in_order(text_lines, scan_pages, books), lexicon, text_lines.count()))
     edges = cut(edge_pairs(lines, lexicon))
@@ -509,7 +515,7 @@ def paragraphs(text_lines: DataFrame, scan_pages: DataFrame, books: DataFrame, l
     # within a partition of the pass, which is as large as a task; the carry from one to the next is a row each
     w = Window.partitionBy("part").orderBy(*order)
     before = F.lag(volume).over(w)
-    new = F.col("starts") | (before != volume) | (F.row_number().over(w) % LONGEST_PARAGRAPH == 0)
+    new = F.col("starts") | (before != volume)
     here = F.struct("page_id", "line_id")
     rows = rows.withColumn("volume", volume).withColumn("new", F.when(F.coalesce(new, F.lit(False)), here))
     rows = rows.withColumn("para", F.last("new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -522,17 +528,35 @@ def paragraphs(text_lines: DataFrame, scan_pages: DataFrame, books: DataFrame, l
     carry = F.last("latest", ignorenulls=True).over(over_parts.rowsBetween(Window.unboundedPreceding, -1))
     ends_of = ends_of.select("part", F.coalesce("own", carry).alias("carry"))
     rows = rows.join(ends_of, "part").withColumn("para", F.coalesce("para", "carry"))
-    cells = F.array_sort(F.collect_list(F.struct(*order, "text", "broken", "fixes")))
-    grouped = rows.groupBy("book_id", "volume_no", "para").agg(F.count("*").alias("n_lines"), F.transform(cells, lambda c: F.struct(c["text"], c["broken"], c["fixes"])).alias("cells"))
-    grouped = grouped.select("book_id", "volume_no", F.col("para.page_id").alias("page_id"), F.col("para.line_id").alias("line_id"), "n_lines", "cells")
+    para = ["book_id", "volume_no", "para"]
+    rows = rows.repartition(python_partitions(rows), *para).sortWithinPartitions(*para, *order)
+    rows = rows.select("book_id", "volume_no", F.col("para.page_id").alias("page_id"), F.col("para.line_id").alias("line_id"), "text", "broken", "fixes")
     known = lexicon.sparkSession.sparkContext.broadcast({bare(x) for x, _ in read_lexicon(lexicon)})
+    names = ["book_id", "volume_no", "page_id", "line_id", "n_lines", "text"]
+    types = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string()]
 
     def run(batches):
-        for batch in batches:
-            texts = []
-            for cell in batch.column(5).to_pylist():
-                lines_of = [tuple(c.values()) for c in cell]
-                texts.append(joined_lines([(t, b, {e["token"]: e["word"] for e in f or []}) for t, b, f in lines_of], known.value))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(texts, pa.string())], names=["book_id", "volume_no", "page_id", "line_id", "n_lines", "text"])
-
-    return grouped.mapInArrow(run, "book_id int, volume_no long, page_id string, line_id int, n_lines long, text string")
+        def table_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+        n_lines = 0
+
+        def counted(lines):
+            nonlocal n_lines
+            for r in lines:
+                n_lines += 1
+                yield r["text"], r["broken"], {e["token"]: e["word"] for e in r["fixes"] or []}
+
+        out, size = [], 0
+        for key, lines in groupby((r for b in batches for r in b.to_pylist()), lambda r: tuple(r[n] for n in names[:4])):
+            n_lines = 0
+            text = joined_lines(counted(lines), known.value)
+            out.append((*key, n_lines, text))
+            size += len(text)
+            if size > BATCH_CHARS:
+                yield table_of(out)
+                out, size = [], 0
+        if out:
+            yield table_of(out)
+
+    return rows.mapInArrow(run, "book_id int, volume_no long, page_id string, line_id int, n_lines long, text string")

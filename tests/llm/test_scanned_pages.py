@@ -106,3 +106,24 @@ def test_paragraph_starts_and_joins(spark, tables):
     assert [(r.line_id, r.text) for r in got] == [(0, "One two"), (2, "Three four")]
     assert scanned_pages.joined_lines([("Tbe mar-", True, {"tbe": "the"}), ("gin - x", False, {})], {"margin"}) == "The margin - x"
     assert scanned_pages.joined_lines([], set()) == ""
+
+
+@pytest.mark.parametrize("partitions", ["1", "9"])
+def test_long_text_is_cut_at_beginnings_only(spark, tables, partitions):
+    _, scans, books, lexicon, _ = tables
+    schema = "page_id string, book_id int, line_id int, box_left int, box_top int, wid int, hei int, img_w int, img_h int, line_str string"
+    rows = []
+    for p in range(75):  # 2250 lines; set in at every 500th, and a word is broken where a count of 2000 would cut
+        for i in range(30):
+            n = 30 * p + i
+            text = "confirms the mar-" if n == 1998 else "gin of the folder" if n == 1999 else "the ordinary folder"
+            rows.append((f"long{p:03d}", 1, i, 80 + (40 if n % 500 == 100 else 0), 165 + 40 * i, 300, 29, 1654, 2338, text))
+    scans = spark.createDataFrame([(f"long{p:03d}", 1, 0, p) for p in range(75)], "page_id string, book_id int, volume_no long, page_seq int")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = scanned_pages.paragraphs(spark.createDataFrame(rows, schema), scans, books, lexicon).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sorted(30 * int(r.page_id[4:]) + r.line_id for r in got) == [0, 100, 600, 1100, 1600, 2100]
+    assert sum("confirms the margin of the folder" in r.text for r in got) == 1 and sorted(r.n_lines for r in got) == [100, 150, 500, 500, 500, 500]
