@@ -242,6 +242,53 @@ def record_table(df: DataFrame, key: str, value: str, schema: Node) -> DataFrame
     return df.select(F.col(key).cast("string").alias("row_id"), *columns)
 
 
-def to_variant(df: DataFrame, text: str, out: str = "value") -> DataFrame:
-    """``df`` with the JSON column ``text`` replaced by the variant ``out`` (null if it does not parse)."""
-    return df.withColumn(out, F.try_parse_json(F.col(text))).drop(*([text] if text != out else []))
+#: Depth and digits that Spark's JSON parser surely takes.
+_DEEP, _DIGITS = 400, 300
+
+
+def fitted(text: str, values: bool) -> str:
+    """JSON text that Spark's parser takes in place of a text that it does not.
+
+    Long numbers become strings of their digits, what is nested deeper than any
+    level is left out; without ``values`` all strings are empty.
+    """
+    tree = json_grammar.parse(text)
+    todo: list[tuple] = [(tree, 0)]
+    while todo:
+        at, depth = todo.pop()
+        for k, x in list(at.items() if isinstance(at, dict) else enumerate(at)) if isinstance(at, (dict, list)) else ():
+            if isinstance(x, json_grammar.Number):
+                at[k] = x if len(x) < _DIGITS and "e" not in x.lower() else str.__str__(x)
+            elif isinstance(x, str):
+                at[k] = x if values else ""
+            elif isinstance(x, (dict, list)):
+                if depth < _DEEP:
+                    todo.append((x, depth + 1))
+                else:
+                    x.clear()
+    return json_grammar.dump(tree)
+
+
+def to_variant(df: DataFrame, text: str, out: str = "value", values: bool = True) -> DataFrame:
+    """``df`` with the JSON column ``text`` replaced by the variant ``out`` (null if null or no JSON).
+
+    Spark's parser has limits of depth, digits and length that the grammar here has
+    not. What it does not take is parsed here and given to it again as :func:`fitted`.
+    Without ``values`` only the positions of elements are of use there. A text that
+    is valid and still too large for a variant raises, so that no record is lost.
+    """
+
+    def again(t: str | None) -> str | None:
+        try:
+            return None if t is None else fitted(t, values)
+        except Fault:
+            return None
+
+    # only texts that failed go to Python
+    read = df.withColumn(out if out != text else "_value", F.try_parse_json(F.col(text)))
+    value = F.col(out if out != text else "_value")
+    read = read.withColumn("_again", F.udf(again, T.StringType(), useArrow=True)(F.when(value.isNull(), F.col(text))))
+    too_large = F.raise_error(F.lit("a valid JSON text is too large for a variant")).cast("variant")
+    second = F.when(F.col("_again").isNotNull(), F.coalesce(F.try_parse_json("_again"), too_large))
+    read = read.withColumn("_value", F.coalesce(value, second)).drop("_again", *([text] if text != out else []))
+    return read.drop(out).withColumnRenamed("_value", out)

@@ -60,7 +60,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     levels = nested.levels_to(result_schema(spark, folder), RESULT_PATH, single=RESULT_PATH)
     if not levels:
         return spark.createDataFrame([], "response_id long, ret_no int, char_no int, cand_no int")
-    records = nested.to_variant(result_records(spark, folder), "json")
+    records = nested.to_variant(result_records(spark, folder), "json", values=False)
     rows = nested.explode_levels(records, "value", levels, RESULT_ORDINALS[: len(levels)])
     ordinals = [(F.col(c) if i < len(levels) else F.lit(-1)).cast(T.IntegerType()).alias(c) for i, c in enumerate(RESULT_ORDINALS)]
     return rows.select("response_id", *ordinals)

@@ -241,3 +241,14 @@ def test_levels_come_from_the_merged_schema(spark):
     assert nested.levels_to(schema, records.RESULT_PATH, records.RESULT_PATH) == [("ret",), ("charset",), ("candidate",)]
     assert nested.levels_to(schema, ("q", "z")) == [] and nested.levels_to(nested.Node(), ("a",)) == []
     assert schema.members == nested.infer(df, "result").members
+
+
+def test_results_beyond_the_limits_of_sparks_parser_keep_their_elements(spark):
+    deep = '{"ret": [{"word": "a", "x": ' + "[" * 1100 + "]" * 1100 + '}, {"word": "b"}]}'
+    digits = '{"ret": [{"word": ' + "7" * 1200 + '}, {"word": "b"}]}'
+    df = spark.createDataFrame([(1, deep), (2, digits), (3, '{"ret": [{"word": "a"}, null, {}]}'), (4, None)], "response_id long, json string")
+    rows = nested.explode_levels(nested.to_variant(df, "json"), "value", [("ret",)], ["ret_no"])
+    got = sorted((r.response_id, r.ret_no, r.word) for r in rows.selectExpr("response_id", "ret_no", "try_variant_get(node, '$.word', 'string') AS word").collect())
+    assert got == [(1, 0, "a"), (1, 1, "b"), (2, 0, "7" * 1200), (2, 1, "b"), (3, 0, "a"), (3, 2, None)]
+    long = df.limit(1).selectExpr("response_id", """concat('{"ret": [{"word": "', repeat('x', 25000000), '"}, 1]}') AS json""")
+    assert nested.explode_levels(nested.to_variant(long, "json", values=False), "value", [("ret",)], ["ret_no"]).count() == 2
