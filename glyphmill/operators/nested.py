@@ -183,63 +183,68 @@ def explode_levels(df: DataFrame, value: str, levels: list[tuple[str, ...]], ord
     return out.filter(F.col(ordinals[0]) >= 0)
 
 
-def child_table(df: DataFrame, key: str, value: str, path: tuple[str, ...], schema: Node) -> DataFrame:
+def is_level(schema: Node, path: tuple[str, ...], single: tuple[str, ...] = ()) -> bool:
+    """Whether ``path`` is an array level; ``single`` as in :func:`levels_to`."""
+    levels = levels_to(schema, path, single)
+    return bool(levels) and sum(levels, ()) == path
+
+
+def _columns(value: str, schema: Node, path: tuple[str, ...], single: tuple[str, ...]) -> list[Column]:
+    """A string column for each scalar below an element at ``path`` of the schema, objects of any depth flattened.
+
+    Array levels have tables of their own. A name that is taken gets a "_".
+    """
+    top = schema
+    for name in path:
+        top = top.members[name]
+    out: list[Column] = []
+    taken: set[str] = set()
+    todo = [((n,), top.members[n]) for n in sorted(top.members, reverse=True)]
+    while todo:
+        at, node = todo.pop()
+        if node.is_array or is_level(schema, (*path, *at), single):
+            continue
+        if node.kinds - {"object"}:
+            name = "_".join(at)
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            out.append(F.try_variant_get(value, _json_path(at), "string").alias(name))
+        todo += [((*at, m), node.members[m]) for m in sorted(node.members, reverse=True)]
+    return out
+
+
+def child_table(df: DataFrame, key: str, value: str, path: tuple[str, ...], schema: Node, single: tuple[str, ...] = ()) -> DataFrame:
     """The table of the array level ``path`` below the variant column ``value``.
 
     Columns: ``parent_id`` (surrogate key of the parent row), ``row_id`` (its
-    own), ``ordinal``, and one column for each scalar member, as a string, or
-    ``value`` for elements that are not objects. Surrogate keys are the record's
-    key and the positions down to the element, joined with "/", so they need no
-    coordination between tasks and are the same in every run.
+    own), ``ordinal``, and one column for each scalar member at any depth, as a
+    string, and ``value`` for elements that are not objects. Surrogate keys are the
+    record's key and the positions down to the element, joined with "/", so they need
+    no coordination between tasks and are the same in every run; a level that is a
+    sibling of another has keys of its own. ``single`` as in :func:`levels_to`.
     """
     out = df.select(F.col(key).cast("string").alias("parent_id"), F.col(value).alias("node"))
-    names: tuple[str, ...] = ()
+    if not is_level(schema, path, single):
+        raise ValueError(f"{path} is no array level")
     node = schema
-    steps: list[tuple[str, ...]] = []
     for name in path:
-        names = (*names, name)
         node = node.members[name]
-        if node.is_array:
-            steps.append(names)
-            names = ()
-    if names:
-        raise ValueError(f"{path} is no array level")
-    for i, step in enumerate(steps):
+    for i, step in enumerate(levels_to(schema, path, single)):
         if i:
             out = out.withColumn("parent_id", F.concat_ws("/", "parent_id", F.col("ordinal").cast("string"))).drop("ordinal")
         out = out.select("parent_id", F.posexplode(elements(F.col("node"), step)).alias("ordinal", "node"))
         out = out.filter(F.col("node").isNotNull() & ~F.is_variant_null("node"))
-    scalars = [n for n in sorted(node.members) if not node.members[n].is_array]
-    columns = []
-    for n in scalars:
-        child = node.members[n]
-        if "object" in child.kinds and len(child.kinds) == 1:
-            columns += [
-                F.try_variant_get("node", _json_path((n, m)), "string").alias(f"{n}_{m}") for m in sorted(child.members) if not child.members[m].is_array
-            ]
-        else:
-            columns.append(F.try_variant_get("node", _json_path((n,)), "string").alias(n))
-            columns += [F.try_variant_get("node", _json_path((n, m)), "string").alias(f"{n}_{m}") for m in sorted(child.members)]
+    columns = _columns("node", schema, path, single)
     if node.kinds - {"array", "object"}:
         columns.append(F.try_variant_get("node", "$", "string").alias("value"))
     row_id = F.concat_ws("/", "parent_id", F.col("ordinal").cast("string")).alias("row_id")
     return out.select("parent_id", row_id, "ordinal", *columns)
 
 
-def record_table(df: DataFrame, key: str, value: str, schema: Node) -> DataFrame:
-    """One row for each record: ``row_id`` and its scalar members, as strings."""
-    columns = []
-    for n in sorted(schema.members):
-        child = schema.members[n]
-        if child.is_array:
-            continue
-        if "object" in child.kinds:
-            columns += [
-                F.try_variant_get(value, _json_path((n, m)), "string").alias(f"{n}_{m}") for m in sorted(child.members) if not child.members[m].is_array
-            ]
-        else:
-            columns.append(F.try_variant_get(value, _json_path((n,)), "string").alias(n))
-    return df.select(F.col(key).cast("string").alias("row_id"), *columns)
+def record_table(df: DataFrame, key: str, value: str, schema: Node, single: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each record: ``row_id`` and its scalar members at any depth, as strings."""
+    return df.select(F.col(key).cast("string").alias("row_id"), *_columns(value, schema, (), single))
 
 
 #: Depth and digits that Spark's JSON parser surely takes.

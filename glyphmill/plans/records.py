@@ -70,25 +70,16 @@ def _child(path: tuple[str, ...]):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         texts = result_records(spark, folder)
         schema = result_schema(spark, folder)
-        if path and not _has(schema, path):
+        if path and not nested.is_level(schema, path, RESULT_PATH):
             return spark.createDataFrame([], "parent_id string, row_id string, ordinal int")
         records = nested.to_variant(texts, "json")
         if not path:
-            return nested.record_table(records, "response_id", "value", schema)
-        return nested.child_table(records, "response_id", "value", path, schema)
+            return nested.record_table(records, "response_id", "value", schema, RESULT_PATH)
+        return nested.child_table(records, "response_id", "value", path, schema, RESULT_PATH)
 
     return query
 
 
-def _has(schema: nested.Node, path: tuple[str, ...]) -> bool:
-    node = schema
-    for name in path:
-        if name not in node.members:
-            return False
-        node = node.members[name]
-    return node.is_array
-
-
 def queries() -> dict:
     return {
         "p4_found": p4_found,
@@ -100,6 +91,9 @@ def queries() -> dict:
         "p5_lines": _child(("ret",)),
         "p5_chars": _child(("ret", "charset")),
         "p5_candidates": _child(("ret", "charset", "candidate")),
+        "p5_points": _child(("ret", "poly_location", "points")),
+        "p5_languages": _child(("image_info", "lang_prob_map")),
+        "p5_object_types": _child(("image_info", "detected_obj_type_list")),
     }
 
 

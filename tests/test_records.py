@@ -252,3 +252,24 @@ def test_results_beyond_the_limits_of_sparks_parser_keep_their_elements(spark):
     assert got == [(1, 0, "a"), (1, 1, "b"), (2, 0, "7" * 1200), (2, 1, "b"), (3, 0, "a"), (3, 2, None)]
     long = df.limit(1).selectExpr("response_id", """concat('{"ret": [{"word": "', repeat('x', 25000000), '"}, 1]}') AS json""")
     assert nested.explode_levels(nested.to_variant(long, "json", values=False), "value", [("ret",)], ["ret_no"]).count() == 2
+
+
+def test_every_array_level_has_a_table(spark):
+    q = records.queries()
+    tables = {n: q[n](spark, SF_SMALL).collect() for n in ("p5_lines", "p5_records", "p5_points", "p5_languages", "p5_object_types")}
+    levels = records.result_schema(spark, SF_SMALL).arrays()
+    covered = {("ret",), ("ret", "charset"), ("ret", "charset", "candidate"), ("ret", "poly_location", "points"), ("image_info", "lang_prob_map"), ("image_info", "detected_obj_type_list")}
+    assert set(levels) <= covered
+    assert tables["p5_points"] and {r.parent_id for r in tables["p5_points"]} <= {r.row_id for r in tables["p5_lines"]} and {"x", "y"} <= set(tables["p5_points"][0].asDict())
+    for name in ("p5_languages", "p5_object_types"):
+        assert tables[name] and {r.parent_id for r in tables[name]} <= {r.row_id for r in tables["p5_records"]}
+
+
+def test_single_elements_and_deep_objects_are_in_the_tables(spark, tmp_path):
+    result = '{"a": {"b": {"c": {"d": "deep"}}}, "ret": {"word": "w", "rect": "1 2 3 4", "p": {"q": {"r": 5}}}}'
+    spark.createDataFrame([(1, result, "json")], "response_id long, result string, result_type string").write.parquet(f"{tmp_path}/responses.parquet")
+    q = records.queries()
+    lines = q["p5_lines"](spark, str(tmp_path)).collect()
+    assert [(r.parent_id, r.row_id, r.ordinal, r.word, r.p_q_r) for r in lines] == [("1", "1/0", 0, "w", "5")] and records.p5_found(spark, str(tmp_path)).count() == 1
+    top = q["p5_records"](spark, str(tmp_path)).collect()
+    assert [r.a_b_c_d for r in top] == ["deep"] and not any(c.startswith("ret") for c in top[0].asDict())
