@@ -292,25 +292,34 @@ def beam_search(words: list[dict], lm, char_width: float, weights: Weights = PLA
     return out[::-1]
 
 
+def _rests(df: DataFrame, column: str, distance: int) -> DataFrame:
+    """``df`` with ``rest``: the column after each choice of up to ``distance`` deletions, each once."""
+    rests = F.array(F.col(column))
+    for _ in range(distance):
+        fewer = F.transform(rests, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r), F.lit(1))), lambda i: F.concat(F.substring(r, F.lit(1), i - 1), F.substring(r, i + 1, F.length(r)))))
+        rests = F.array_distinct(F.concat(rests, F.flatten(fewer)))
+    return df.withColumn("rest", F.explode(rests))
+
+
 def expand_candidates(words: DataFrame, lexicon: DataFrame, most: int = 5, distance: int = 2) -> DataFrame:
     """Rows (page_id, line_id, word_id, cand_id, text, log_prob, check, edit): each word and its lexicon neighbours.
 
     Suggestions are the ``most`` nearest lexicon words within ``distance`` edits and
     of like length, with check score -0.1 x rank and edit score -d / length; a word
     that is itself a suggestion gets 0.5 - 0.1 x rank. Words under three letters
-    have no suggestions. The join is on length and first or last letter.
+    have no suggestions. The join is on the rests of both after up to ``distance``
+    deletions, which words within that distance always share.
     """
     keys = ["page_id", "line_id", "word_id"]
     rows = words.filter("word_str IS NOT NULL AND word_str <> ''").select(*keys, F.lower("word_str").alias("seen"), F.coalesce("log_prob", F.lit(-5.0)).alias("log_prob"))
     seen = rows.select("seen").distinct().filter(F.length("seen") >= 3)
     lex = lexicon.select(F.lower("word").alias("word")).distinct()
 
-    def blocked(df: DataFrame, column: str, spread: int) -> DataFrame:
-        sizes = F.sequence(F.length(column) - spread, F.length(column) + spread)
-        ends = F.array(F.concat(F.lit("<"), F.left(column, F.lit(1))), F.concat(F.lit(">"), F.right(column, F.lit(1))))
-        return df.withColumn("size", F.explode(sizes)).withColumn("mark", F.explode(ends))
-
-    met = blocked(seen, "seen", 0).join(blocked(lex, "word", distance), ["size", "mark"]).select("seen", "word").distinct()
+    # words longer or shorter than any of the lexicon have none; the rests of long ones would be many
+    sizes = lex.select(F.explode(F.sequence(F.length("word") - distance, F.length("word") + distance)).alias("size")).distinct()
+    seen = seen.withColumn("size", F.length("seen")).join(sizes, "size", "left_semi").select("seen")
+    # words within that many edits share a rest after as many deletions from each
+    met = _rests(seen, "seen", distance).join(_rests(lex, "word", distance), "rest").select("seen", "word").distinct()
     near = met.withColumn("d", F.levenshtein("seen", "word", distance)).filter("d >= 0")
 
     w = Window.partitionBy("seen").orderBy("d", "word")

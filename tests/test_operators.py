@@ -306,3 +306,31 @@ def test_rotation_keeps_area(spark, degrees, left, top):
     xs, ys = [r.x1, r.x2, r.x3, r.x4], [r.y1, r.y2, r.y3, r.y4]
     area = abs(sum(xs[i] * ys[(i + 1) % 4] - xs[(i + 1) % 4] * ys[i] for i in range(4))) / 2
     assert area == pytest.approx(20_000, rel=0.03)
+
+
+def test_candidates_that_differ_at_both_ends(spark):
+    from glyphmill.operators import decode
+
+    seen = ["eomplete", "ndert", "head", "Xbcdefgh", "aab", "it"]
+    lexicon = ["completes", "under", "near", "abcdefgi", "ba", "b", "head", "bcdefghij"]
+    words = spark.createDataFrame([("p", 0, i, w, -1.0) for i, w in enumerate(seen)], "page_id string, line_id int, word_id int, word_str string, log_prob double")
+    rows = decode.expand_candidates(words, spark.createDataFrame([(w,) for w in lexicon], "word string")).filter("cand_id > 0").collect()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = next_row(row, i, x, b)
+        return row[-1]
+
+    def next_row(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    want = set()
+    for i, w in enumerate(seen):
+        if len(w) >= 3:
+            near = sorted((distance(w.lower(), x), x) for x in lexicon if distance(w.lower(), x) <= 2)[:5]
+            want |= {(i, x) for d, x in near if d}
+    assert {(r.word_id, r.text) for r in rows} == want and {(0, "completes"), (1, "under"), (2, "near")} <= want
