@@ -201,7 +201,7 @@ def k16_json_boxes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k18_report(spark: SparkSession, folder: str) -> DataFrame:
-    rows = lines(spark, folder).withColumn("a", extract.account(F.concat(F.coalesce("line_str", F.lit("")), F.lit(" 13912345678")))).filter("a IS NOT NULL AND line_id = 0")
+    rows = lines(spark, folder).withColumn("a", extract.account(F.concat(F.coalesce("line_str", F.lit("")), F.lit(" 13912345678")))).filter("a IS NOT NULL")
     return result_json.spam_report(rows.select("page_id", "a.kind", "a.value"), e_keywords(spark, folder))
 
 

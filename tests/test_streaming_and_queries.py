@@ -62,3 +62,14 @@ def test_query_equals_sql(spark, duck, name):
 def test_every_sql_has_its_query_and_entry_runs(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert len(__spark_entry__.entry(spark).collect()) == 10
+
+
+def test_report_has_the_accounts_of_every_line(spark):
+    import json
+
+    from glyphmill.plans import operator_queries
+    from tests.conftest import SF_SMALL
+
+    rows = operator_queries.k18_report(spark, SF_SMALL).collect()
+    n_lines = operator_queries.lines(spark, SF_SMALL).count()  # each has the number that the query puts behind it
+    assert sum(len(json.loads(r.result).get("accounts", [])) for r in rows) == n_lines > len(rows)
