@@ -1,16 +1,15 @@
 """How often, and in how many records, every distinct term occurs (problem 3).
 
-Last-seen counters. Rows are range-partitioned and sorted by record, so that the
-rows of a record are contiguous, and each task keeps for every term it meets its
-occurrences, its records and the last record it was seen in; a record counts
-when it differs from the last one. No set of records is kept for any term.
-
-A record, and even the copies of one row, may be cut by a partition border, so the
-first and the last record of a partition, and its first and last row, are reported
-by name and told apart once more; the rest is plain sums. Skew does no harm: a hot
-record is spread over several partitions by the other key columns, a large group of
-copies by a number of its own, and a hot term leaves a task as one row (plus those
-for its borders).
+Last-seen counters. Rows are hash-partitioned by term and sorted by record, and each
+task keeps for every term it meets its occurrences, its records and the last record
+it was seen in; a record counts when it differs from the last one. No set of records
+is kept for any term.
+
+Skew does no harm. Copies of a row are made one before, by an aggregate with a
+map-side part. The hash is over the term and a salt of the record, so a term with a
+third of all rows is spread over all tasks, and as a record has one salt, no record
+of a term is in two tasks and the counts of tasks are plain sums. A record with a
+third of all rows is spread by its terms.
 """
 
 from __future__ import annotations
@@ -28,23 +27,21 @@ MAX_TERMS = 1_000_000
 RARE_RECORDS = 2
 COMMON_SHARE = 0.4
 
-_SCHEMA = "term string, occurrences long, records long, border string, row_key string"
+_SCHEMA = "term string, occurrences long, records long"
 
 
 class LastSeen:
-    """Counters of one task. Term 0 stands for the record itself and occurs in every row."""
+    """Counters of one task: occurrences, records and the number of the last record of each term."""
 
     def __init__(self, max_terms: int):
         self._max = max_terms
-        self._index: dict[str | None, int] = {}
-        self._terms: list[str | None] = []
+        self._index: dict[str, int] = {}
+        self._terms: list[str] = []
         self._occ = np.zeros(1024, np.int64)
         self._rec = np.zeros(1024, np.int64)
         self._last = np.full(1024, -1, np.int64)
-        self._first = np.zeros(1024, bool)  # seen in the first record of the partition
-        self._code(None)
 
-    def _code(self, term: str | None) -> int:
+    def _code(self, term: str) -> int:
         i = self._index.get(term)
         if i is None:
             i = self._index[term] = len(self._terms)
@@ -54,22 +51,13 @@ class LastSeen:
                 self._occ = np.concatenate([self._occ, np.zeros(more, np.int64)])
                 self._rec = np.concatenate([self._rec, np.zeros(more, np.int64)])
                 self._last = np.concatenate([self._last, np.full(more, -1, np.int64)])
-                self._first = np.concatenate([self._first, np.zeros(more, bool)])
         return i
 
     def add(self, terms: pa.Array, record: np.ndarray) -> None:
         """Terms of consecutive rows and the numbers of their records, which never fall."""
         coded = terms.dictionary_encode()
-        to_global = np.array([self._code(t) if t else 0 for t in coded.dictionary.to_pylist()], np.int64)
-        local = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
-        codes = np.where(local >= 0, to_global[local], 0) if len(to_global) else np.zeros(len(local), np.int64)
-        real = codes > 0
-        self._count(codes[real], record[real])
-        self._count(np.zeros(len(record), np.int64), record)
-
-    def _count(self, codes: np.ndarray, record: np.ndarray) -> None:
-        if not len(codes):
-            return
+        to_global = np.array([self._code(t) for t in coded.dictionary.to_pylist()], np.int64)
+        codes = to_global[coded.indices.to_numpy(zero_copy_only=False)]
         n = len(self._terms)
         self._occ[:n] += np.bincount(codes, minlength=n)
         order = np.argsort(codes, kind="stable")
@@ -80,7 +68,6 @@ class LastSeen:
         new[1:] |= r[1:] != r[:-1]
         new[head] = self._last[c[head]] != r[head]
         self._rec[:n] += np.bincount(c[new], minlength=n)
-        self._first[c[r == 0]] = True
         tail = np.ones(len(c), bool)
         tail[:-1] = head[1:]
         self._last[c[tail]] = r[tail]
@@ -88,58 +75,15 @@ class LastSeen:
     def full(self) -> bool:
         return len(self._terms) > self._max
 
-    def drain(self, current: int, current_name: str | None, first_name: str | None, border_rows: dict[str, str | None] | None = None):
-        """Rows of all counters so far, without the open record unless this is the end; forgets them.
-
-        At the end, ``border_rows`` has the key and term of the partition's first and last row.
-        """
-        end = border_rows is not None
-        for term in (border_rows or {}).values():  # these count by name
-            self._occ[self._code(term) if term else 0] -= 1
-            if term:
-                self._occ[0] -= 1
+    def drain(self, current: int = -1) -> pa.RecordBatch:
+        """Rows of all counters so far; forgets them, but for what was seen in the ``current`` record."""
         n = len(self._terms)
-        occ, first = self._occ[:n], self._first[:n]
-        in_current = self._last[:n] == current
-        # a record counts by name if it is the partition's first or, at the end, its last
-        inner = self._rec[:n] - first
-        inner = inner - (in_current & ~(first if current == 0 else np.zeros(n, bool)))
-        terms = pa.array(self._terms, pa.string())
-        rows = [(terms, occ, inner, pa.nulls(n, pa.string()))]
-        for mask, name in ((first, first_name), (in_current if end else np.zeros(n, bool), current_name)):
-            at = np.flatnonzero(mask)
-            if len(at):
-                zero = np.zeros(len(at), np.int64)
-                rows.append((terms.take(pa.array(at)), zero, zero, pa.array([repr(name)] * len(at), pa.string())))
-        names = ["term", "occurrences", "records", "border", "row_key"]
-        batches = [pa.RecordBatch.from_arrays([t, pa.array(o), pa.array(r), b, pa.nulls(len(t), pa.string())], names=names) for t, o, r, b in rows]
-        for key, term in (border_rows or {}).items():
-            both = [term, None] if term else [None]
-            zeros = pa.array([0] * len(both), pa.int64())
-            batches.append(pa.RecordBatch.from_arrays([pa.array(both, pa.string()), zeros, zeros, pa.nulls(len(both), pa.string()), pa.array([key] * len(both), pa.string())], names=names))
-        if not end:
-            keep = [self._terms[i] for i in np.flatnonzero(in_current)]
-            self.__init__(self._max)
-            for term in keep:
-                i = self._code(term)
-                self._rec[i], self._last[i], self._first[i] = 1, current, current == 0
-        return batches
-
-
-def _changes(column: pa.Array, before) -> tuple[np.ndarray, object]:
-    """Where a value differs from the one in the row above; ``before`` is the value above the batch."""
-    coded = column.dictionary_encode(null_encoding="encode")
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    out = np.ones(len(codes), bool)
-    out[1:] = codes[1:] != codes[:-1]
-    out[0] = column[0].as_py() != before
-    return out, column[-1].as_py()
-
-
-def _named(columns: list[pa.Array], i: int) -> tuple[str, str | None]:
-    """Key of a row as text, and its term."""
-    *key, term = (c[i].as_py() for c in columns)
-    return repr(key), term or None
+        columns = [pa.array(self._terms, pa.string()), pa.array(self._occ[:n]), pa.array(self._rec[:n])]
+        keep = [t for t, last in zip(self._terms, self._last) if last == current]
+        self.__init__(self._max)
+        for term in keep:
+            self._last[self._code(term)] = current
+        return pa.RecordBatch.from_arrays(columns, names=["term", "occurrences", "records"])
 
 
 _START = object()
@@ -154,43 +98,41 @@ def term_counts(df: DataFrame, record: str, term: str, keys: list[str], max_term
     """
     keys = [k for k in keys if k not in (record, term)]
     rows = df.select(F.col(record).cast("string").alias("record"), F.col(term).cast("string").alias("term"), *[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)])
-    order = ["record", *[f"key{i}" for i in range(len(keys))]]
-    # the number in the file parts copies of one row, which would all fall into one range
-    rows = rows.repartitionByRange(python_partitions(rows), *order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    once = rows.distinct().select("record", "term")
+    parts = python_partitions(rows)
+    salted = once.repartition(parts, F.coalesce("term", F.lit("")), F.pmod(F.xxhash64("record"), F.lit(parts))).sortWithinPartitions("record")
 
     def run(batches):
         counters = LastSeen(max_terms)
-        above: list = [_START] * len(order)
-        number, first_name, name, border_rows = -1, None, None, {}
+        above: object = _START
+        number, n_rows = -1, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fresh = np.zeros(batch.num_rows, bool)
-            for i, column in enumerate(order):
-                changed, above[i] = _changes(batch.column(batch.schema.get_field_index(column)), above[i])
-                if i == 0:
-                    starts = changed
-                fresh |= changed
-            if number < 0:
-                first_name = batch.column(batch.schema.get_field_index("record"))[0].as_py()
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in (*order, "term")]
-            if number < 0:
-                border_rows.update([_named(columns, 0)])
-            last_row = _named(columns, batch.num_rows - 1)
+            coded = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            starts = np.ones(len(codes), bool)
+            starts[1:] = codes[1:] != codes[:-1]
+            starts[0] = batch.column(0)[0].as_py() != above
+            above = batch.column(0)[-1].as_py()
             numbers = number + np.cumsum(starts)
-            number, name = int(numbers[-1]), above[0]
-            keep = np.flatnonzero(fresh)
-            counters.add(batch.column(batch.schema.get_field_index("term")).take(pa.array(keep)), numbers[keep])
+            number = int(numbers[-1])
+            n_rows += batch.num_rows
+            terms = batch.column(1)
+            real = pc.fill_null(pc.not_equal(terms, ""), False)
+            at = np.flatnonzero(real.to_numpy(zero_copy_only=False))
+            if len(at):
+                counters.add(terms.filter(real), numbers[at])
             if counters.full():
-                yield from counters.drain(number, name, first_name)
-        if border_rows:
-            border_rows.setdefault(*last_row)
-            yield from counters.drain(number, name, first_name, border_rows)
-
-    partial = rows.mapInArrow(run, _SCHEMA)
-    partial = partial.groupBy("term", "border", "row_key").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    partial = partial.withColumn("records", F.when(F.col("border").isNull(), F.col("records")).otherwise(F.lit(1)))
-    partial = partial.withColumn("occurrences", F.when(F.col("row_key").isNull(), F.col("occurrences")).otherwise(F.lit(1)))
+                yield counters.drain(number)
+        yield counters.drain()
+        if n_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([n_rows]), pa.array([0])], names=["term", "occurrences", "records"])
+
+    # all records, from a scan of that column alone
+    records = df.groupBy(F.col(record).cast("string")).agg(F.lit(1)).groupBy().count().filter("count > 0")
+    total = records.select(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("occurrences"), F.col("count").alias("records"))
+    partial = salted.mapInArrow(run, _SCHEMA).unionByName(total)
     return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
