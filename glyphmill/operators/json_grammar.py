@@ -107,6 +107,24 @@ def parse(text: str, repeated: list[str] | None = None):
                 at, want = at + 1, "value"
 
 
+def _refuse(word: str):
+    raise ValueError(f"{word} is no JSON")
+
+
+_DECODER = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=_refuse)
+
+
+def quick(text: str):
+    """The value of ``text``, from Python's own parser where that takes it; else :func:`parse` decides.
+
+    For readers that want the value alone: no offsets, and repeated members are not named.
+    """
+    try:
+        return _DECODER.decode(text)
+    except (ValueError, RecursionError):
+        return parse(text)
+
+
 def dump(value) -> str:
     """JSON text of a parsed value, numbers as they were written."""
     out: list[str] = []

@@ -52,15 +52,41 @@ class Node:
 PAIRS_TYPE = "array<struct<path: array<string>, kind: string>>"
 
 
-def pairs_of(value) -> list[dict]:
-    """The (path, kind) pairs of one parsed value."""
-    seen: set = set()
-    _kinds(value, (), seen)
-    return [{"path": list(path), "kind": kind} for path, kind in sorted(seen)]
+class Seen:
+    """The (path, kind) pairs met so far, as a tree; ``grow`` names those that a value adds."""
+
+    _KINDS = {dict: "object", list: "array", bool: "boolean", json_grammar.Number: "number", str: "string"}
+
+    def __init__(self) -> None:
+        self._root: tuple[set, dict, tuple] = (set(), {}, ())
+        self._nodes = 0
+
+    def grow(self, value) -> list[tuple[tuple[str, ...], str]]:
+        out = []
+        todo = [(self._root, value)]
+        while todo:
+            node, x = todo.pop()
+            kind = self._KINDS.get(type(x))
+            if kind == "object":
+                members = node[1]
+                for name, v in x.items():
+                    child = members.get(name)
+                    if child is None:
+                        child = members[name] = (set(), {}, (*node[2], name))
+                        self._nodes += 1
+                    todo.append((child, v))
+            elif kind == "array":
+                todo += [(node, e) for e in x]
+            if kind is not None and kind not in node[0]:
+                node[0].add(kind)
+                out.append((node[2], kind))
+        if self._nodes > MAX_PATHS:
+            raise ValueError("too many paths for a schema")
+        return out
 
 
 def merged(df: DataFrame, pairs: str) -> Node:
-    """The merged schema of a column of :func:`pairs_of` results, over all rows.
+    """The merged schema of a column of pairs (of PAIRS_TYPE, see :class:`Seen`), over all rows.
 
     What comes to the driver is bounded by MAX_PATHS, else this raises.
     """
@@ -100,24 +126,6 @@ def levels_to(schema: Node, path: tuple[str, ...], single: tuple[str, ...] = ())
     return out
 
 
-def _kinds(value, path: tuple[str, ...], seen: set) -> None:
-    todo = [(value, path)]
-    while todo:
-        x, at = todo.pop()
-        if isinstance(x, list):
-            seen.add((at, "array"))
-            todo += [(e, at) for e in x]
-        elif isinstance(x, dict):
-            seen.add((at, "object"))
-            todo += [(v, (*at, k)) for k, v in x.items()]
-        elif isinstance(x, bool):
-            seen.add((at, "boolean"))
-        elif isinstance(x, json_grammar.Number):
-            seen.add((at, "number"))
-        elif isinstance(x, str):
-            seen.add((at, "string"))
-
-
 def infer(df: DataFrame, text: str) -> Node:
     """The merged schema of a column of JSON text, over all rows.
 
@@ -126,17 +134,15 @@ def infer(df: DataFrame, text: str) -> Node:
     """
 
     def run(batches):
-        seen: set = set()
+        seen = Seen()
+        pairs = []
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 if value is not None:
                     try:
-                        _kinds(json_grammar.parse(value), (), seen)
+                        pairs += seen.grow(json_grammar.quick(value))
                     except Fault:
                         continue
-            if len(seen) > 8 * MAX_PATHS:
-                raise ValueError("too many paths for a schema")
-        pairs = sorted(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([list(p) for p, _ in pairs], pa.list_(pa.string())), pa.array([k for _, k in pairs], pa.string())], names=["path", "kind"]
         )
@@ -189,6 +195,15 @@ def is_level(schema: Node, path: tuple[str, ...], single: tuple[str, ...] = ())
     return bool(levels) and sum(levels, ()) == path
 
 
+def _scalar(value: str, path: tuple[str, ...], node: Node) -> Column:
+    """The scalar at a path as a string; null where an object stands in its place, which has columns of its own."""
+    text = F.try_variant_get(value, _json_path(path), "string")
+    if "object" not in node.kinds:
+        return text
+    kind = F.schema_of_variant(F.try_variant_get(value, _json_path(path), "variant"))
+    return F.when(~F.startswith(kind, F.lit("OBJECT")), text)
+
+
 def _columns(value: str, schema: Node, path: tuple[str, ...], single: tuple[str, ...]) -> list[Column]:
     """A string column for each scalar below an element at ``path`` of the schema, objects of any depth flattened.
 
@@ -209,18 +224,26 @@ def _columns(value: str, schema: Node, path: tuple[str, ...], single: tuple[str,
             while name.lower() in taken:
                 name += "_"
             taken.add(name.lower())
-            out.append(F.try_variant_get(value, _json_path(at), "string").alias(name))
+            out.append(_scalar(value, at, node).alias(name))
         todo += [((*at, m), node.members[m]) for m in sorted(node.members, reverse=True)]
     return out
 
 
+def with_key(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
+    """``df`` with the surrogate key ``out`` of its records: ``key`` as text, or for a null one "#" and a hash of ``text``.
+
+    So records without a key that differ have keys of their own, and equal ones are one record.
+    """
+    return df.withColumn(out, F.coalesce(F.col(key).cast("string"), F.concat(F.lit("#"), F.sha2(F.col(text), 256))))
+
+
 def child_table(df: DataFrame, key: str, value: str, path: tuple[str, ...], schema: Node, single: tuple[str, ...] = ()) -> DataFrame:
     """The table of the array level ``path`` below the variant column ``value``.
 
     Columns: ``parent_id`` (surrogate key of the parent row), ``row_id`` (its
     own), ``ordinal``, and one column for each scalar member at any depth, as a
     string, and ``value`` for elements that are not objects. Surrogate keys are the
-    record's key and the positions down to the element, joined with "/", so they need
+    record's key (see :func:`with_key` where it may be null) and the positions down to the element, joined with "/", so they need
     no coordination between tasks and are the same in every run; a level that is a
     sibling of another has keys of its own. ``single`` as in :func:`levels_to`.
     """
@@ -237,7 +260,7 @@ def child_table(df: DataFrame, key: str, value: str, path: tuple[str, ...], sche
         out = out.filter(F.col("node").isNotNull() & ~F.is_variant_null("node"))
     columns = _columns("node", schema, path, single)
     if node.kinds - {"array", "object"}:
-        columns.append(F.try_variant_get("node", "$", "string").alias("value"))
+        columns.append(_scalar("node", (), node).alias("value"))
     row_id = F.concat_ws("/", "parent_id", F.col("ordinal").cast("string")).alias("row_id")
     return out.select("parent_id", row_id, "ordinal", *columns)
 

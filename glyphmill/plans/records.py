@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.lineage import python_partitions
 from glyphmill.operators import nested
-from glyphmill.operators.parse_rows import WORD_FIELDS, parse_responses, parse_word_rows
+from glyphmill.operators.parse_rows import WORD_FIELDS, parse_responses, parse_word_rows, read_dumps
+from glyphmill.plans import records_sql
 from glyphmill.sources.tables import table
 
 #: The members of a service result that are lists by its format, from the outside in, and the names of their positions.
@@ -42,17 +44,18 @@ def p4_faults(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def result_records(spark: SparkSession, folder: str) -> DataFrame:
-    """``response_id`` and the JSON text of each valid result, repeats once."""
+    """``response_id``, ``record`` (a key that is never null) and the JSON text of each valid result, repeats once."""
     answers = table(spark, folder, "responses").select("response_id", "result", "result_type").filter("result IS NOT NULL")
     # repeats are equal in these columns; answers without an id stay apart from each other
-    answers = parse_responses(answers.distinct(), text="json")
-    return answers.filter(F.col("json").isNotNull()).select("response_id", "json")
+    answers = nested.with_key(answers.distinct(), "response_id", "result", "record")
+    answers = parse_responses(answers.repartition(python_partitions(answers), "record"), text="json", quick=True)
+    return answers.filter(F.col("json").isNotNull()).select("response_id", "record", "json")
 
 
 def result_schema(spark: SparkSession, folder: str) -> nested.Node:
-    """The merged schema of all valid results: a pass of its own over the answers."""
+    """The merged schema of all valid results: a pass of its own over the answers, which is less than to write their texts."""
     answers = table(spark, folder, "responses").select("result", "result_type").filter("result IS NOT NULL")
-    return nested.merged(parse_responses(answers, pairs="pairs").filter(F.col("pairs").isNotNull()), "pairs")
+    return nested.merged(parse_responses(answers, pairs="pairs", quick=True).filter(F.col("pairs").isNotNull()), "pairs")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,8 +77,8 @@ def _child(path: tuple[str, ...]):
             return spark.createDataFrame([], "parent_id string, row_id string, ordinal int")
         records = nested.to_variant(texts, "json")
         if not path:
-            return nested.record_table(records, "response_id", "value", schema, RESULT_PATH)
-        return nested.child_table(records, "response_id", "value", path, schema, RESULT_PATH)
+            return nested.record_table(records, "record", "value", schema, RESULT_PATH)
+        return nested.child_table(records, "record", "value", path, schema, RESULT_PATH)
 
     return query
 
@@ -84,6 +87,7 @@ def queries() -> dict:
     return {
         "p4_found": p4_found,
         "p4_word_rows": p4_word_rows,
+        "p4_dump": p4_dump,
         "p4_faults": p4_faults,
         "p4_failing_rows": p4_failing_rows,
         "p5_found": p5_found,
@@ -112,11 +116,23 @@ def p4_failing_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("row_id", "reason").distinct()
 
 
+def p4_dump(spark: SparkSession, folder: str) -> DataFrame:
+    """The valid word records, read from whole dumps in which the grammar finds the record starts itself."""
+    records = read_dumps(table(spark, folder, "word_rows")).filter(F.col("reason").isNull())
+    return records.select("row_id", *[F.col(f"word.{n}").alias(n) for n in WORD_FIELDS])
+
+
 def oracle_sql() -> dict[str, str]:
     typed = ", ".join(f"CAST(f[{i}] AS INTEGER) AS {_quoted(n)}" for i, n in enumerate(WORD_FIELDS[1:7], 2))
+    valid = f"WITH {_FIELDS} SELECT row_id, f[1] AS page_id, {typed}, f[8] AS text, CASE WHEN f[9] <> '' THEN CAST(f[9] AS DOUBLE) END AS prob FROM v WHERE reason IS NULL"
+    failing = "SELECT 'word_rows' AS src, row_id AS rec_id, reason FROM v WHERE reason IS NOT NULL"
     return {
         "p4_failing_rows": f"WITH {_FIELDS} SELECT row_id, reason FROM v WHERE reason IS NOT NULL",
-        "p4_word_rows": f"WITH {_FIELDS} SELECT row_id, f[1] AS page_id, {typed}, f[8] AS text, CASE WHEN f[9] <> '' THEN CAST(f[9] AS DOUBLE) END AS prob FROM v WHERE reason IS NULL",
+        "p4_found": f"WITH {_FIELDS}, {records_sql.JUDGED} {failing} UNION ALL {records_sql.FAILING_RESPONSES}",
+        "p4_word_rows": valid,
+        "p4_dump": valid,
+        "p5_found": records_sql.FOUND,
+        **records_sql.TABLES,
     }
 
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphmill.operators import json_grammar, nested
-from glyphmill.operators.parse_rows import WORD_GRAMMAR, parse_responses, parse_word_dump, parse_word_rows
+from glyphmill.operators.parse_rows import WORD_GRAMMAR, parse_responses, parse_word_dump, parse_word_rows, read_dumps
 from glyphmill.operators.row_grammar import Fault
 from glyphmill.plans import records
 from tests.conftest import SF_SMALL
@@ -273,3 +273,71 @@ def test_single_elements_and_deep_objects_are_in_the_tables(spark, tmp_path):
     assert [(r.parent_id, r.row_id, r.ordinal, r.word, r.p_q_r) for r in lines] == [("1", "1/0", 0, "w", "5")] and records.p5_found(spark, str(tmp_path)).count() == 1
     top = q["p5_records"](spark, str(tmp_path)).collect()
     assert [r.a_b_c_d for r in top] == ["deep"] and not any(c.startswith("ret") for c in top[0].asDict())
+
+
+def test_no_record_of_a_dump_reaches_beyond_an_anchor():
+    good = ['pg1,0,{},1,1,1,1,"w{}",0.5'.format(i, i) for i in range(4)]
+    # a record with an open quote and too many fields, which a stray quote closes two records later
+    dump = "\n".join(['pg1,0,9,1,1,1,1,x,0.5,"open', good[0], good[1], 'stray"', good[2]])
+    got = list(WORD_GRAMMAR.dump(dump))
+    assert [r.fields[7] for r in got if r.fields] == ["w0", "w1", "w2"] and got[0].fault.kind == "quoting"
+    # two stray quotes in records of nine fields: one "record" with the rows between as its text
+    dump = "\n".join(['pg1,0,9,1,1,1,1,"open', good[0].replace('"', ""), 'end",0.5', good[2]])
+    assert [r.fields[7] for r in WORD_GRAMMAR.dump(dump) if r.fields] == ["w0", "w2"]
+    # lines inside a text that are no whole records stay text
+    assert [r.fields[7] for r in WORD_GRAMMAR.dump('pg1,0,9,1,1,1,1,"a\nb,1,2\n",0.5\n' + good[3])] == ["a\nb,1,2\n", "w3"]
+
+
+def test_known_anchors_part_rows_whatever_their_quotes(spark):
+    rows = ['pg1,0,1,1,1,1,1,"open', 'pg1,0,2,1,1,1,1,fine,1', 'close",0.5', "", 'pg1,0,3,1,1,1,1,"x\ny",']
+    df = spark.createDataFrame(list(enumerate(rows)), "row_id long, raw string").coalesce(1)
+    assert [r.reason for r in parse_word_rows(df).orderBy("row_id").collect()] == ["quoting", None, "quoting", "columns", None]
+
+
+def test_leading_zeros_are_no_digits(spark):
+    df = spark.createDataFrame([(1, f"p,{'0' * 401},-{'0' * 50}1,0,0,0001,1,a,1"), (2, "p,-0,1,0,0,1,1,a,1"), (3, f"p,1,1,{'9' * 5000},0,1,1,a,1"), (4, "p,1,1,02147483648,0,1,1,a,1")], "row_id long, raw string")
+    got = {r.row_id: r for r in parse_word_rows(df).collect()}
+    assert [got[i].reason for i in (1, 2, 3, 4)] == ["value", None, "value", "value"]  # line 1: word_id is -1
+    assert got[2].word.line_id == 0
+
+
+def test_dumps_put_together_give_the_valid_rows(spark):
+    words = spark.read.parquet(f"{SF_SMALL}/word_rows.parquet")
+    want = {r.row_id for r in parse_word_rows(words.select("row_id", "raw").distinct()).filter("reason IS NULL").collect()}
+    got = [r.row_id for r in read_dumps(words.withColumn("word", F.lit(1))).filter("reason IS NULL").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert read_dumps(words.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, None, None, None), (1, None, None, "p,0,1,0,0,1,1,a,1"), (1, None, None, "p,0,1,0,0,1,1,a,1")], "row_id long, src_file string, row_no int, raw string")
+    assert [r.row_id for r in read_dumps(odd).filter("reason IS NULL").collect()] == [1]
+
+
+@given(st.text(alphabet='{}[]:,"a1e.- \\utrfN', max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_quick_reading_accepts_what_the_grammar_accepts(text):
+    def of(read):
+        try:
+            return repr(read(text))
+        except Fault:
+            return None
+
+    assert of(json_grammar.quick) == of(json_grammar.parse)
+
+
+def test_quick_reading_of_deep_and_long_values():
+    deep = "[" * 100_000 + "]" * 100_000
+    assert json_grammar.dump(json_grammar.quick(deep)) == deep and json_grammar.quick("7" * 6000) == "7" * 6000
+
+
+def test_answers_without_an_id_have_keys_of_their_own(spark, tmp_path):
+    text = '{"ret": [{"word": "%s", "word": "%s"}, {"word": "x", "charset": [{"word": "y"}, {"word": "z"}]}]}'
+    rows = [(0, text % ("p", "a"), "json"), (None, text % ("q", "a"), "json"), (None, text % ("p", "b"), "json"), (None, text % ("p", "b"), "json")]
+    spark.createDataFrame(rows, "response_id long, result string, result_type string").write.parquet(f"{tmp_path}/responses.parquet")
+    q = records.queries()
+    top = [r.row_id for r in q["p5_records"](spark, str(tmp_path)).collect()]
+    lines = q["p5_lines"](spark, str(tmp_path)).collect()
+    chars = q["p5_chars"](spark, str(tmp_path)).collect()
+    assert len(set(top)) == len(top) == 3 and "0" in top
+    assert len({r.row_id for r in lines}) == len(lines) == 6 and {r.parent_id for r in lines} == set(top)
+    assert sorted(r.word for r in lines) == ["a", "a", "b", "x", "x", "x"]
+    assert len({r.row_id for r in chars}) == 6 and {r.parent_id for r in chars} <= {r.row_id for r in lines}
+    assert records.p5_found(spark, str(tmp_path)).count() == 12
