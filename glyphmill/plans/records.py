@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.lineage import python_partitions
 from glyphmill.operators import nested
 from glyphmill.operators.parse_rows import WORD_FIELDS, parse_responses, parse_word_rows, read_dumps
 from glyphmill.plans import records_sql
@@ -48,7 +47,7 @@ def result_records(spark: SparkSession, folder: str) -> DataFrame:
     answers = table(spark, folder, "responses").select("response_id", "result", "result_type").filter("result IS NOT NULL")
     # repeats are equal in these columns; answers without an id stay apart from each other
     answers = nested.with_key(answers.distinct(), "response_id", "result", "record")
-    answers = parse_responses(answers.repartition(python_partitions(answers), "record"), text="json", quick=True)
+    answers = parse_responses(answers, text="json", quick=True)
     return answers.filter(F.col("json").isNotNull()).select("response_id", "record", "json")
 
 
