@@ -167,6 +167,7 @@ class Consistent:
             self._words.setdefault(lang, set()).add(bare(word))
         self._grams = Grams([w for w, _ in lexicon])
         self._word = lru_cache(200_000)(self._settle)
+        self._spelled = lru_cache(200_000)(self.form)
 
     def _lattice(self, letters: str) -> list[dict[str, str]]:
         """For each place, the reading of each script; a sign is the same in all."""
@@ -264,6 +265,12 @@ class Consistent:
             start = end
         return out
 
+    def line(self, text: str, lang: str | None) -> str:
+        """The consistent form of a line of words, with one space between them; each distinct word is read once."""
+        if lang != "ru" and _PLAIN_LINE.fullmatch(text):
+            return " ".join(text.split())
+        return " ".join(" ".join([self._spelled(w, lang) for w in text.split(" ")]).split())
+
     def form(self, text: str, lang: str | None) -> str:
         return "".join(self.points(text, lang))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.lineage import python_partitions
 from glyphmill.llm.boosting import Booster
 
 Q = 2
@@ -96,6 +98,7 @@ def sight_distance(seen: str, word: str, limit: float = 4.0) -> float:
     return min(rows[n][m], limit)
 
 
+@lru_cache(100_000)
 def grams(word: str) -> set[str]:
     padded = f"^{word}$"
     return {padded[i : i + Q] for i in range(len(padded) - Q + 1)}
@@ -118,7 +121,7 @@ def features(seen: str, word: str) -> list[float]:
     ]
 
 
-def _damage(word: str, rng: random.Random) -> str:
+def damaged(word: str, rng: random.Random) -> str:
     """A lexicon word as a recogniser might have read it."""
     for _ in range(1 if rng.random() < 0.75 else 2):
         spots = [(i, k) for i in range(len(word)) for k in (1, 2) if word[i : i + k] in CONFUSED and i + k <= len(word)]
@@ -159,7 +162,7 @@ def train_ranker(lexicon: list[tuple[str, str]], copies: int = TRAIN_COPIES, bou
         picked = words if len(words) <= bound else rng.sample(words, bound)
         for w in picked:
             for k in range(copies):
-                seen = _damage(w, rng) if k < copies - 1 else _foreign(words, rng)
+                seen = damaged(w, rng) if k < copies - 1 else _foreign(words, rng)
                 if seen in known:
                     continue
                 shared: dict[str, int] = {}
@@ -177,26 +180,57 @@ def train_ranker(lexicon: list[tuple[str, str]], copies: int = TRAIN_COPIES, bou
     return Booster(rounds=70, depth=3).fit(np.array(x), np.array(y))
 
 
-def candidates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Rows (lang, token, word) of an inverted q-gram join.
+def _least_shared(n: int, m: int) -> int:
+    """Distinct q-grams that a reading of n letters shares at least with its word of m: all but those of two damaged places."""
+    return max(1, max(n, m) + 1 - 2 * (3 if m >= 5 else 2))
 
-    ``tokens`` has distinct (lang, token), ``lexicon`` (lang, word). A candidate
-    shares at least as many q-grams as a word of that length keeps after two
-    damaged places, or one if it is short; lengths differ by three at most.
-    """
 
-    def inverted(df: DataFrame, column: str, size: str) -> DataFrame:
-        padded = F.concat(F.lit("^"), F.col(column), F.lit("$"))
-        at = F.sequence(F.lit(1), F.length(column) + F.lit(3 - Q))
-        pieces = F.array_distinct(F.transform(at, lambda i: F.substr(padded, i, F.lit(Q))))
-        return df.select("lang", column, F.length(column).alias(size), F.explode(pieces).alias("gram"))
+def gram_counts(words: Iterable[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """How many of the (word, lang) rows hold a q-gram of a language."""
+    return Counter((lang, g) for word, lang in set(words) for g in grams(word))
+
 
-    left = inverted(tokens, "token", "n")
-    right = inverted(lexicon, "word", "m")
-    met = left.join(right, ["lang", "gram"]).filter(F.abs(F.col("n") - F.col("m")) <= 3)
-    met = met.groupBy("lang", "token", "word").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
-    enough = F.greatest(F.lit(1), F.greatest("n", "m") + 1 - 2 * F.when(F.col("m") >= 5, 3).otherwise(2))
-    return met.filter(F.col("shared") >= enough).select("lang", "token", "word")
+def candidates(tokens: DataFrame, lexicon: DataFrame, rows: list[tuple[str, str]]) -> DataFrame:
+    """Rows (lang, token, word) of an inverted q-gram join, distinct and partitioned by token.
+
+    ``tokens`` has distinct (lang, token), ``lexicon`` (lang, word), ``rows`` the same
+    lexicon as (word, lang). Only pairs that can share as many q-grams as
+    :func:`_least_shared` asks for, and differ by three letters at most, need to meet: of
+    sets of a and b grams that share t, the a - t + 1 rarest of the one and the b - t + 1
+    rarest of the other have a gram in common. So each side goes into the join with
+    its rarest grams alone, once for each length of the other, and the length is part of
+    the key; grams that no word holds are not sent at all. :func:`rank` counts what is shared.
+    """
+    counts = tokens.sparkSession.sparkContext.broadcast(dict(gram_counts(rows)))
+
+    def inverted(df: DataFrame, seen: bool) -> DataFrame:
+        name, size = ("token", "n") if seen else ("word", "m")
+
+        def run(batches):
+            held = counts.value
+            for batch in batches:
+                langs, words, own, other, keys = [], [], [], [], []
+                for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    ordered = sorted(grams(word), key=lambda g: (held.get((lang, g), 0), g))
+                    known = [held.get((lang, g), 0) > 0 for g in ordered]
+                    for length in range(max(1, len(word) - 3), len(word) + 4):
+                        least = _least_shared(len(word), length) if seen else _least_shared(length, len(word))
+                        for g, k in zip(ordered[: max(0, len(ordered) - least + 1)], known):
+                            if k:
+                                langs.append(lang)
+                                words.append(word)
+                                own.append(len(word))
+                                other.append(length)
+                                keys.append(g)
+                n, m = (own, other) if seen else (other, own)
+                columns = [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(keys, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", name, "n", "m", "gram"])
+
+        return df.select("lang", name).mapInArrow(run, f"lang string, {name} string, n int, m int, gram string")
+
+    parts = python_partitions(tokens)
+    met = inverted(tokens.repartition(parts, "lang", "token"), True).join(inverted(lexicon, False), ["lang", "n", "m", "gram"])
+    return met.select("lang", "token", "word").repartition(parts, "lang", "token").dropDuplicates(["lang", "token", "word"])
 
 
 def rank(pairs: DataFrame, model: Booster, accept: float = ACCEPT) -> DataFrame:
@@ -208,8 +242,13 @@ def rank(pairs: DataFrame, model: Booster, accept: float = ACCEPT) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            seen, words = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            score = booster.predict(np.array([features(s, w) for s, w in zip(seen, words)]))
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            met = [i for i, (s, w) in enumerate(pairs) if len(grams(s) & grams(w)) >= _least_shared(len(s), len(w))]
+            batch = batch.take(pa.array(met, pa.int32()))
+            if not met:
+                continue
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            score = booster.predict(np.array([features(s, w) for s, w in pairs]))
             keep = np.flatnonzero(score >= accept)
             part = batch.take(pa.array(keep))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score[keep])], names=["lang", "token", "word", "score"])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.lineage import cut
 from glyphmill.llm import byte_bpe, lookalikes, mojibake, packing, scanned_pages, term_counts
+from glyphmill.operators import nested
+from glyphmill.plans import records
 from glyphmill.sources.tables import table
 
 
@@ -19,6 +21,35 @@ def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return scanned_pages.paragraphs(*[table(spark, folder, n) for n in ("text_lines", "scan_pages", "books", "lexicon")])
 
 
+def p1_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Misread words of running text, and what they were."""
+    return scanned_pages.repaired_words(*[table(spark, folder, n) for n in ("words", "text_lines", "scan_pages", "books", "lexicon")])
+
+
+def _item_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The items of valid results as lines, and the pages they stand on; each answer is a page of its own."""
+    pages = table(spark, folder, "scan_pages").select("page_id", "book_id", "volume_no", "page_seq", "img_w", "img_h").dropDuplicates(["page_id"])
+    answers = table(spark, folder, "responses").select("response_id", "page_id").dropDuplicates(["response_id"]).join(pages, "page_id", "left")
+    items = nested.explode_levels(nested.to_variant(records.result_records(spark, folder), "json"), "value", [("ret",)], ["ret_no"])
+    rect = F.split(F.try_variant_get("node", "$.rect", "string"), " ")
+
+    def side(name: str, at: int) -> Column:
+        return F.coalesce(F.try_variant_get("node", f"$.rect.{name}", "int"), F.try_element_at(rect, F.lit(at)).try_cast("int"))
+
+    lines = items.join(answers.drop("page_id"), "response_id", "left").select(
+        F.col("record").alias("page_id"), "book_id", F.col("ret_no").cast("int").alias("line_id"),
+        side("left", 1).alias("box_left"), side("top", 2).alias("box_top"), side("width", 3).alias("wid"), side("height", 4).alias("hei"),
+        "img_w", "img_h", F.try_variant_get("node", "$.word", "string").alias("line_str"),
+    )
+    return lines, answers.select(F.col("response_id").cast("string").alias("page_id"), "book_id", "volume_no", "page_seq").filter("page_id IS NOT NULL")
+
+
+def p1_item_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The running text of the items of results as repaired paragraphs; ``page_id`` is the key of the answer."""
+    lines, pages = _item_lines(spark, folder)
+    return scanned_pages.paragraphs(lines, pages, table(spark, folder, "books"), table(spark, folder, "lexicon"))
+
+
 def _changed(spark: SparkSession, folder: str) -> DataFrame:
     tables = [table(spark, folder, n) for n in ("words", "books", "lexicon")]
     return lookalikes.changed_words(*tables)
@@ -72,6 +103,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_paragraphs": p1_paragraphs,
+    "p1_words": p1_words,
+    "p1_item_paragraphs": p1_item_paragraphs,
     "p2_found": p2_found,
     "p2_words": p2_words,
     "p3_counts": p3_counts,

