@@ -3,10 +3,12 @@
 Three steps for each word. (1) Characters that show nothing are deleted, spaces
 become plain spaces, compatibility forms their plain characters, and letters
 are composed with their marks. (2) The letters become a lattice: at each place
-stand the character and those that look like it in other scripts. (3) A Viterbi
-search finds the best path on which all letters are of one script, scored by
-character n-grams of that script; a reading that the page's lexicon holds is
-preferred in the page's script, and codes are read in Latin.
+stand the character and all those that look like it, in its own and other scripts.
+(3) For each script a Viterbi search finds the best path on which all letters are of
+it, scored by character trigrams of the language or script and by what it changes.
+The best path over all scripts is the form; what a lexicon word, a code, the page's
+script and so on weigh against the trigrams is fitted on lexicon words and codes
+that are respelled here.
 
 A word that is wholly in a foreign script stays, unless the lexicon holds what
 it looks like. Characters of plain ASCII are never swapped for one another.
@@ -15,9 +17,11 @@ it looks like. Characters of plain ASCII are never swapped for one another.
 from __future__ import annotations
 
 import math
+import random
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.lineage import python_partitions
+
 #: A lexicon is a small closed table that is sent to all tasks; a larger one is refused.
 MAX_LEXICON_WORDS = 500_000
 
@@ -41,6 +47,8 @@ _ACCENTED = [("ë", "ё"), ("Ë", "Ё"), ("ï", "ї"), ("Ï", "Ї"), ("è", "ѐ"
 # Signs that are drawn the same as a plain one.
 _SIGNS = {"‐": "-", "‑": "-", "‒": "-", "−": "-", "﹣": "-", "－": "-", "⁃": "-", "․": ".", "∕": "/", "⁄": "/", "ꞏ": "·", "։": ":", "꞉": ":", "\u2126": "\u03a9", "\u212a": "K", "\u212b": "\u00c5"}
 
+#: The letters of scripts other than Latin in which a page may be set, without marks.
+_BLOCKS = {"Cyrillic": "А-Яа-яЁё", "Greek": "Α-Ωα-ω", "Armenian": "Ա-Ֆա-և"}
 _IGNORABLE = re.compile(
     "[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U000e0000-\U000e0fff]"
 )
@@ -71,6 +79,15 @@ def _script(c: str) -> str | None:
     return "other"
 
 
+def respelled(word: str, rng: random.Random, most: int = 3) -> str:
+    """A word in which some letters, ``most`` at most, are replaced by others that look the same."""
+    places = [i for i, c in enumerate(word) if any(x != c for xs in readings(c).values() for x in xs)]
+    out = list(word)
+    for i in rng.sample(places, min(len(places), rng.randint(1, most))):
+        out[i] = rng.choice(sorted({x for xs in readings(word[i]).values() for x in xs} - {word[i]}))
+    return "".join(out)
+
+
 def _tables() -> dict[str, dict[str, str]]:
     """For each target script, what a letter looks like in it."""
     to: dict[str, dict[str, str]] = {"Latin": dict(_LATIN_TWINS), "Cyrillic": {}, "Greek": {}, "Armenian": {}}
@@ -89,7 +106,27 @@ def _tables() -> dict[str, dict[str, str]]:
 
 
 LOOKS = _tables()
-PAGE_SCRIPT = {"ru": "Cyrillic"}
+#: Letters that look like several of another script: the further readings.
+_MORE = {"ӏ": "Il", "І": "Il", "Ι": "Il", "ı": "i", "ν": "v", "υ": "uv", "κ": "kк", "ʋ": "v", "ɩ": "i", "ѵ": "v"}
+
+
+def readings(c: str) -> dict[str, list[str]]:
+    """What a letter may be, by script: itself, and all that look like it. Plain Latin letters do not stand for each other."""
+    out: dict[str, list[str]] = {}
+    for x in (c, *(LOOKS[t][c] for t in LOOKS if c in LOOKS[t]), *(_MORE.get(c, ""))):
+        s = _script(x)
+        if s is not None and x not in out.setdefault(s, []):
+            out[s].append(x)
+    if c in _LATIN_TWINS:  # not a letter of any alphabet here
+        out["Latin"].remove(c)
+    return out
+
+
+def script_of(words: list[str]) -> str:
+    """The script in which most letters of ``words`` stand; Latin if they have none."""
+    met = Counter(s for w in words for c in w if (s := _script(c)))
+    return met.most_common(1)[0][0] if met else "Latin"
+
 
 
 def plain_points(text: str) -> list[str]:
@@ -132,116 +169,195 @@ _CODE = re.compile(r"[^\W\d_]{1,5}-?[0-9][0-9/\-]*[^\W\d_]?|[0-9]+[^\W\d_]|[^\W\
 _ROMAN = re.compile("[IVXLCDM]+")
 
 
-class Grams:
-    """Smoothed character bigrams of each script, from the words of a lexicon."""
+class Spelling:
+    """How well letters follow each other in the words of a language: smoothed character trigrams."""
 
-    def __init__(self, words: list[str]):
-        pairs: dict[str, Counter] = {}
-        firsts: dict[str, Counter] = {}
+    def __init__(self, words: Iterable[str]):
+        self._threes: Counter = Counter()
+        self._twos: Counter = Counter()
         for w in words:
-            low = w.casefold()
-            script = next((s for c in low if (s := _script(c))), None)
-            if script is None:
-                continue
-            p, f = pairs.setdefault(script, Counter()), firsts.setdefault(script, Counter())
-            for a, b in zip("^" + low, low + "$"):
-                p[a + b] += 1
-                f[a] += 1
-        self._pairs, self._firsts = pairs, firsts
+            padded = f"^^{w}$"
+            for i in range(2, len(padded)):
+                self._threes[padded[i - 2 : i + 1]] += 1
+                self._twos[padded[i - 2 : i]] += 1
+        self.score = lru_cache(100_000)(self._score)
 
-    def score(self, script: str, a: str, b: str) -> float:
-        """log P(b after a) in a script."""
-        p = self._pairs.get(script)
-        if p is None:
-            return -4.0
-        a, b = a.casefold(), b.casefold()
-        return math.log((p[a + b] + 0.2) / (self._firsts[script][a] + 8.0))
+    def after(self, two: str, c: str) -> float:
+        """log P of a letter after two others."""
+        return math.log((self._threes.get(two + c, 0) + 0.05) / (self._twos.get(two, 0) + 2.0))
+
+    def _score(self, word: str) -> float:
+        """Mean log probability of a letter of ``word``, its end included."""
+        padded = f"^^{word}$"
+        return sum(self.after(padded[i - 2 : i], padded[i]) for i in range(2, len(padded))) / (len(padded) - 2)
+
+    def __getstate__(self):  # the cache stays behind
+        return {"_threes": self._threes, "_twos": self._twos}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.score = lru_cache(100_000)(self._score)
+
+
+#: Words respelled for the fit, of each kind and language, and rounds over them.
+FIT_WORDS, FIT_ROUNDS = 150, 4
+_AROUND_CODE = " \"'()[]{}.,:;!?*«»„“”…-—"
+_NO_SPELLING = Spelling(())
 
 
 class Consistent:
-    """The consistent form of words, given the lexicon as (word, lang) rows."""
+    """The consistent form of words, given the lexicon as (word, lang) rows. Can be sent to tasks."""
+
+    #: What speaks for a path, in the order of ``weights``: its trigrams, letters changed, letters left in
+    #: another script, a word of the page's lexicon, the page's script, a code in Latin, a Roman
+    #: number in Latin, letters as they stand that look like none of another script, and small letters made capitals or the reverse.
+    FEATURES = ("spelling", "changed", "left", "word", "page", "code", "roman", "own", "case")
 
-    def __init__(self, lexicon: list[tuple[str, str]]):
+    def __init__(self, lexicon: list[tuple[str, str]], fit: bool = True):
         self._words: dict[str, set[str]] = {}
+        by_script: dict[str, list[str]] = {}
         for word, lang in lexicon:
             self._words.setdefault(lang, set()).add(bare(word))
-        self._grams = Grams([w for w, _ in lexicon])
+        self._page = {lang: script_of(sorted(words)) for lang, words in self._words.items()}
+        for lang, words in self._words.items():
+            by_script.setdefault(self._page[lang], []).extend(words)
+        self._spelling = {("", script): Spelling(words) for script, words in by_script.items()}
+        self._spelling |= {(lang, self._page[lang]): Spelling(words) for lang, words in self._words.items()}
+        self.weights = (1.0, -1.0, -8.0, 8.0, 1.0, 8.0, 4.0, 1.0, -2.0)
+        self._caches()
+        if fit:
+            self._fit(lexicon)
+            self._caches()
+
+    def _caches(self) -> None:
         self._word = lru_cache(200_000)(self._settle)
         self._spelled = lru_cache(200_000)(self.form)
+        self._readings = lru_cache(20_000)(readings)
 
-    def _lattice(self, letters: str) -> list[dict[str, str]]:
-        """For each place, the reading of each script; a sign is the same in all."""
-        out = []
-        for c in letters:
-            s = _script(c)
-            if s is None:
-                out.append({})
-                continue
-            places = {t: LOOKS[t][c] for t in LOOKS if c in LOOKS[t]}
-            places.setdefault(s, c)
-            out.append(places)
-        return out
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("_word", "_spelled", "_readings")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._caches()
 
-    def _path(self, letters: str, lattice: list[dict[str, str]], script: str) -> tuple[float, list[str]]:
-        """Viterbi over the lattice within one script: score and characters.
+    def page_script(self, lang: str | None) -> str:
+        """The script of a language: that of its lexicon words, Latin if there are none."""
+        return self._page.get(lang or "", "Latin")
 
-        States of a place are its reading in the script and the character as it
-        stands; a letter left in another script costs, and so does a change.
+    def _path(self, word: str, lattice: list[dict[str, list[str]]], script: str, lang: str | None) -> tuple[str, float, int, int, int]:
+        """Viterbi over the lattice within one script: (letters, spelling, changed, left, case).
+
+        A state is the last two letters. A letter that cannot be read in the script is left as it stands.
         """
-        states: dict[str, tuple[float, list[str]]] = {"^": (0.0, [])}
-        for c, places in zip(letters, lattice):
-            if not places:
-                options = [(c, 0.0)]
-            elif script in places:
-                options = [(places[script], 0.0 if places[script] == c else -0.5)]
-                if places[script] != c and _script(c) != script:
-                    options.append((c, -30.0))
-            else:
-                options = [(c, -30.0)]
-            new: dict[str, tuple[float, list[str]]] = {}
-            for o, cost in options:
-                ends = [(v + self._grams.score(script, a, o) + cost, way) for a, (v, way) in states.items()]
-                best = max(ends, key=lambda x: x[0])
-                new[o] = (best[0], best[1] + [o])
+        spelling = self._spelling.get((lang or "", script)) or self._spelling.get(("", script)) or _NO_SPELLING
+        w_spell, w_changed, w_left, w_case = (*self.weights[:3], self.weights[8])
+        states: dict[str, tuple[float, tuple, str]] = {"^^": (0.0, (0.0, 0, 0, 0), "")}
+        for c, places in zip(word, lattice):
+            options = places.get(script) if places else [c]
+            left = not options
+            new: dict[str, tuple[float, tuple, str]] = {}
+            for two, (value, (spell, changed, n_left, n_case), way) in states.items():
+                for o in options or [c]:
+                    low = o.lower()
+                    step = spelling.after(two, low[:1])
+                    case = o.isupper() != c.isupper()
+                    n = value + w_spell * step + w_changed * (o != c) + w_left * left + w_case * case
+                    key = two[1] + low[:1]
+                    if key not in new or n > new[key][0]:
+                        new[key] = (n, (spell + step, changed + (o != c), n_left + left, n_case + case), way + o)
             states = new
-        return max(states.values(), key=lambda x: x[0])
+        ends = ((v + w_spell * spelling.after(two, "$"), way, spelling.after(two, "$"), f) for two, (v, f, way) in states.items())
+        _, way, last, (spell, changed, n_left, n_case) = max(ends)
+        return way, spell + last, changed, n_left, n_case
+
+    def candidates(self, word: str, lang: str | None) -> list[tuple[str, tuple[float, ...]]]:
+        """The best path of each script in which the word may stand, with its features."""
+        lattice = [self._readings(c) if _script(c) else {} for c in word]
+        page = self.page_script(lang)
+        words = self._words.get(lang or "", set())
+        own = {s for c in word if (s := _script(c))}
+        foreign = len(own) == 1 and page not in own and not any(c in _LATIN_TWINS for c in word)
+        found: dict[str, tuple[float, ...]] = {}
+        core = word.strip(_AROUND_CODE)
+        at = word.find(core)
+        for script in sorted({s for places in lattice for s in places}, key=lambda s: (s != page, s)):
+            way, spell, changed, left, case = self._path(word, lattice, script, lang)
+            in_words = script == page and bare(way) in words
+            inner = way[at : at + len(core)]
+            code = script == "Latin" and not left and any(c.isdigit() for c in inner) and bool(_CODE.fullmatch(inner))
+            # a word that is wholly in a foreign script is no case, unless it is a word of the page or a code
+            if way != word and foreign and not (in_words or code):
+                continue
+            roman = script == "Latin" and not left and bool(_ROMAN.fullmatch(inner))
+            anchors = sum(1 for c, places in zip(word, lattice) if len(places) == 1 and c in places.get(script, ()))
+            if way not in found:
+                found[way] = (spell, changed, left, in_words, script == page, code, roman, anchors, case)
+        return [(way, tuple(map(float, f))) for way, f in found.items()]
 
     def _settle(self, word: str, lang: str | None) -> str | None:
-        """The letters of ``word`` (already plain) in one script; None if they stay."""
-        page = PAGE_SCRIPT.get(lang or "", "Latin")
+        """The letters of ``word`` (already plain) on the best path; None if they stay."""
         scripts = {s for c in word if (s := _script(c))}
-        if not scripts or scripts == {"other"} or (scripts == {"Latin"} and page == "Latin" and not any(c in _LATIN_TWINS for c in word)):
-            return None
-        lattice = self._lattice(word)
-        words = self._words.get(lang or "", set())
-        whole = lambda s: all(not p or s in p for p in lattice)
-        if whole(page):
-            reading = "".join(p.get(page, c) for p, c in zip(lattice, word))
-            if bare(reading) in words:
-                return reading
-        core = word.strip(" \"'()[]{}.,:;!?*«»„“”…-—")
-        if whole("Latin") and any(c.isdigit() for c in core):
-            reading = "".join(p.get("Latin", c) for p, c in zip(lattice, word))
-            if _CODE.fullmatch(reading[word.find(core) : word.find(core) + len(core)]):
-                return reading
-        named = scripts - {"other"}
-        if len(named) < 2 and not any(c in _LATIN_TWINS for c in word):
-            return None
-        candidates = {s for p in lattice for s in p}
+        page = self.page_script(lang)
+        if not scripts or scripts == {"other"} or (scripts == {page} and not any(c in _LATIN_TWINS or (c.isdigit() and page != "Latin") for c in word)):
+            return None  # nothing to settle: one script, the page's own
         best = None
-        for script in sorted(candidates & set(LOOKS), key=lambda s: s != page):
-            value, path = self._path(word, lattice, script)
-            # a script in which some letter stands that looks like nothing else is the word's own
-            value += 1.0 * (script == page) + 4.0 * sum(1 for c, p in zip(word, lattice) if len(p) == 1 and script in p)
-            if _ROMAN.fullmatch("".join(path)):
-                value += 6.0
+        for way, features in self.candidates(word, lang):
+            value = sum(w * f for w, f in zip(self.weights, features))
             if best is None or value > best[0]:
-                best = (value, path)
-        return "".join(best[1]) if best else None
+                best = (value, way)
+        return best[1] if best else None
+
+    # --- the fit
+
+    def examples(self, lexicon: list[tuple[str, str]], rng: random.Random, count: int = FIT_WORDS) -> list[tuple[str, str, str]]:
+        """(respelled word, language of the page, word): lexicon words, names, foreign words, codes and Roman numbers."""
+        out = []
+        words = {lang: sorted({w for w, other in lexicon if other == lang}) for lang in sorted({lang for _, lang in lexicon})}
+        for lang, own in words.items():
+            others = [w for other in words if self.page_script(other) not in ("other", self.page_script(lang)) for w in words[other]]
+            for _ in range(count):
+                w = rng.choice(own)
+                out.append((respelled(w, rng), lang, w))
+                name = (w[: max(2, len(w) // 2)] + rng.choice(own)[-3:]).capitalize()
+                if _script(name[0]) == self.page_script(lang):
+                    out.append((respelled(name, rng, 2), lang, name))
+                if others:
+                    w = rng.choice(others)
+                    if len(w) > 4:
+                        out.append((respelled(w, rng, 1), lang, w))
+                letters = "".join(rng.choice("ABCEHKMNOPTXYS") for _ in range(rng.randint(1, 3)))
+                code = letters + rng.choice(["", "-"]) + str(rng.randint(1, 999)) + rng.choice(["", "", "a", "c"])
+                out.append((respelled(code, rng), lang, code))
+                roman = rng.choice(["IX", "XI", "XIX", "MCM", "XXI", "CX", "MM", "XC", "IC"])
+                out.append((respelled(roman, rng, 1), lang, roman))
+        return [e for e in out if e[0] != e[2]]
+
+    def _fit(self, lexicon: list[tuple[str, str]]) -> None:
+        """Weights by an averaged perceptron over the paths of respelled words; those whose truth is no path teach nothing."""
+        rng = random.Random(17)
+        rows = self.examples(lexicon, rng)
+        weights, total, steps = list(self.weights), [0.0] * len(self.weights), 0
+        for _ in range(FIT_ROUNDS):
+            rng.shuffle(rows)
+            for seen, lang, truth in rows:
+                paths = self.candidates(seen, lang)
+                right = next((f for way, f in paths if way == truth), None)
+                if right is None:
+                    continue
+                scored = [(sum(w * x for w, x in zip(weights, f)), f) for _, f in paths]
+                value = sum(w * x for w, x in zip(weights, right))
+                worst = max((s for s in scored if s[1] is not right), default=None, key=lambda s: s[0])
+                if worst is not None and worst[0] > value - 1.0:
+                    weights = [w + 0.1 * (a - b) for w, a, b in zip(weights, right, worst[1])]
+                total = [t + w for t, w in zip(total, weights)]
+                steps += 1
+        if steps:
+            self.weights = tuple(t / steps for t in total)
 
     def points(self, text: str, lang: str | None) -> list[str]:
         """What each code point of ``text`` becomes; joined, they are the consistent form."""
-        if lang != "ru" and _PLAIN_LINE.fullmatch(text):
+        if self.page_script(lang) == "Latin" and _PLAIN_LINE.fullmatch(text):
             return list(text)
         out = plain_points(text)
         # words of the plain text, with the places their characters come from
@@ -267,7 +383,7 @@ class Consistent:
 
     def line(self, text: str, lang: str | None) -> str:
         """The consistent form of a line of words, with one space between them; each distinct word is read once."""
-        if lang != "ru" and _PLAIN_LINE.fullmatch(text):
+        if self.page_script(lang) == "Latin" and _PLAIN_LINE.fullmatch(text):
             return " ".join(text.split())
         return " ".join(" ".join([self._spelled(w, lang) for w in text.split(" ")]).split())
 
@@ -298,24 +414,6 @@ def read_lexicon(lexicon: DataFrame) -> list[tuple[str, str]]:
     return sorted((r.word, r.lang) for r in rows)
 
 
-_MADE: dict[int, Consistent] = {}
-
-
-def consistent_source(lexicon: DataFrame):
-    """What gives the Consistent of a lexicon within a task; each Python worker builds it once."""
-    rows = read_lexicon(lexicon)
-    shared = lexicon.sparkSession.sparkContext.broadcast(rows)
-    mark = hash(tuple(rows))
-
-    def get() -> Consistent:
-        if mark not in _MADE:
-            _MADE.clear()
-            _MADE[mark] = Consistent(shared.value)
-        return _MADE[mark]
-
-    return get
-
-
 _SPELLED = T.StructType(
     [
         T.StructField("word_str", T.StringType()),
@@ -326,16 +424,16 @@ _SPELLED = T.StructType(
 )
 
 
-def inconsistent_spellings(spellings: DataFrame, lexicon: DataFrame) -> DataFrame:
+def inconsistent_spellings(spellings: DataFrame, lexicon: DataFrame, consistent: Consistent | None = None) -> DataFrame:
     """Of distinct (word_str, lang) rows, those not in their consistent form.
 
     Adds ``form`` and ``targets``: what each char of the word becomes, empty for
     one that has no place in the form.
     """
-    source = consistent_source(lexicon)
+    shared = lexicon.sparkSession.sparkContext.broadcast(consistent or Consistent(read_lexicon(lexicon)))
 
     def run(batches):
-        consistent = source()
+        consistent = shared.value
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for word, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -357,14 +455,19 @@ def changed_words(words: DataFrame, books: DataFrame, lexicon: DataFrame) -> Dat
     spelling of a language is settled once, however often it occurs; null and
     empty words are no cases; repeated rows give one.
     """
+    consistent = Consistent(read_lexicon(lexicon))
     langs = books.select(F.col("book_id").alias("_book"), "lang")
     rows = words.select("page_id", "book_id", "line_id", "word_id", "word_str").join(langs, F.col("book_id") == F.col("_book"), "left")
-    # plain ASCII is consistent but on pages in another script; there, words without Latin letters and digits
+    # plain ASCII is consistent but on pages in another script; there, words of its letters and plain signs are
     letters = F.col("word_str").rlike("[^ -~]")
-    mixed = F.col("word_str").rlike("[A-Za-z0-9]|[^ -~А-Яа-яЁё]")
-    rows = rows.filter(F.when(F.col("lang") == "ru", mixed).otherwise(letters))
-    rows = rows.select("page_id", "line_id", "word_id", "word_str", F.coalesce("lang", F.lit("")).alias("lang"))
-    spelled = inconsistent_spellings(rows.select("word_str", "lang").distinct(), lexicon)
+    needed = letters
+    for lang, script in sorted(consistent._page.items()):
+        if script in _BLOCKS:
+            needed = F.when(F.col("lang") == lang, F.col("word_str").rlike(f"[A-Za-z0-9]|[^ -~{_BLOCKS[script]}]")).otherwise(needed)
+    rows = rows.filter(needed).select("page_id", "line_id", "word_id", "word_str", F.coalesce("lang", F.lit("")).alias("lang"))
+    spellings = rows.select("word_str", "lang").distinct()
+    spellings = spellings.repartition(python_partitions(spellings), "word_str", "lang")
+    spelled = inconsistent_spellings(spellings, lexicon, consistent)
     joined = rows.join(spelled, ["word_str", "lang"])
     return joined.select("page_id", "line_id", "word_id", "word_str", "form", "targets").dropDuplicates(["page_id", "line_id", "word_id"])
 

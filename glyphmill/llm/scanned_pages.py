@@ -19,10 +19,9 @@ a line whose page is not in ``scan_pages`` stands in a volume of its own page.
 
 from __future__ import annotations
 
-import math
 import random
 import re
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import groupby
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from glyphmill.lineage import cut, python_partitions
 from glyphmill.llm import misreadings
 from glyphmill.llm.boosting import Booster
-from glyphmill.llm.lookalikes import Consistent, bare, read_lexicon
+from glyphmill.llm.lookalikes import Consistent, Spelling, bare, read_lexicon
 
 #: Lines from which the furniture classifier is fitted, besides made-up pages: at most so
 #: many, of TRAIN_RUNS runs of RUN_PAGES neighbouring pages, picked by hash.
@@ -58,6 +57,7 @@ _AROUND = " \t.,;:()[]{}\"'«»„“”‘’…*?¿¡" + _SIGNS
 # numbers, also with letters that look like digits; signs with a number; capitals with a number and perhaps a small letter
 _CODE = re.compile(r"[\W\d_]*|[§£€¥¢¶†‡‰Ωß]\d+|[A-Z]{1,4}-?\d+(?:[./,\-]\d+)*[a-z]?|[lIOoSsBbZgq\d.,/]*\d[lIOoSsBbZgq\d.,/]*")
 _ROMAN = re.compile(r"\b[ivxlc]+\b")
+_DIGIT = re.compile(r"\d")
 
 LINE_COLUMNS = ["page_id", "line_id", "box_left", "box_top", "wid", "hei", "img_w", "img_h", "line_str", "book_id", "volume_no", "page_seq", "lang"]
 _OUT = (
@@ -123,7 +123,7 @@ class LineView:
             self._top.append((mask, rel_top))
         elif text and rel_low < 0.2:
             self._low.append((mask, rel_top))
-        digits = sum(c.isdigit() for c in text) / max(1, len(text))
+        digits = len(_DIGIT.findall(text)) / max(1, len(text))
         return [rel_top, rel_low, gap_up, gap_down, float(first), float(last), again, digits, float(len(text.split())), float(row["wid"] or 0) / max(1.0, float(row["img_w"] or 0)), above]
 
 
@@ -241,28 +241,6 @@ def stands_off(text: str) -> bool:
     return len(words) > 1 and all(c in _SIGNS for c in words[-1])
 
 
-class Spelling:
-    """How well letters follow each other in the words of a language: smoothed character trigrams."""
-
-    def __init__(self, words: Iterable[str]):
-        self._threes: Counter = Counter()
-        self._twos: Counter = Counter()
-        for w in words:
-            padded = f"^^{w}$"
-            for i in range(2, len(padded)):
-                self._threes[padded[i - 2 : i + 1]] += 1
-                self._twos[padded[i - 2 : i]] += 1
-        self.score = lru_cache(100_000)(self._score)
-
-    def _score(self, word: str) -> float:
-        """Mean log probability of a letter of ``word``, its end included."""
-        padded = f"^^{word}$"
-        total = 0.0
-        for i in range(2, len(padded)):
-            total += math.log((self._threes[padded[i - 2 : i + 1]] + 0.05) / (self._twos[padded[i - 2 : i]] + 2.0))
-        return total / (len(padded) - 2)
-
-
 class Pairs:
     """Whether the last word of a line goes on in the next: features, and a model trained on made-up lines."""
 
@@ -447,9 +425,9 @@ def _shown_rooms(rows: list[dict]) -> list[float]:
 
 
 def models(text_lines: DataFrame, scan_pages: DataFrame, books: DataFrame, lexicon: DataFrame, bound: int = TRAIN_LINES):
-    """A broadcast of the lexicon's rows and both classifiers, trained once."""
+    """A broadcast of the lexicon's rows, both classifiers and the reader of look-alikes, trained once."""
     words = read_lexicon(lexicon)
-    return lexicon.sparkSession.sparkContext.broadcast((words, train_furniture(text_lines, scan_pages, books, bound), Pairs(words)))
+    return lexicon.sparkSession.sparkContext.broadcast((words, train_furniture(text_lines, scan_pages, books, bound), Pairs(words), Consistent(words)))
 
 
 def read_lines(ordered: DataFrame, shared) -> DataFrame:
@@ -462,8 +440,8 @@ def read_lines(ordered: DataFrame, shared) -> DataFrame:
     """
 
     def run(batches):
-        lexicon_rows, model, pairs = shared.value
-        consistent, doubtful, view = Consistent(lexicon_rows), Doubtful(lexicon_rows), LineView()
+        lexicon_rows, model, pairs, consistent = shared.value
+        doubtful, view = Doubtful(lexicon_rows), LineView()
         part = TaskContext.get().partitionId()
         before: dict | None = None  # the line above those at hand
         open_line: dict | None = None  # last line of running text, its pair not judged
@@ -574,7 +552,7 @@ def edge_pairs(lines: DataFrame, shared) -> DataFrame:
     rows = rows.select("page_id", "line_id", "lang", "text", "edge", "room", "before", "after").filter("lang IS NULL OR lang <> 'zh'")
 
     def run(batches):
-        lexicon_rows, _, pairs = shared.value
+        lexicon_rows, _, pairs, _ = shared.value
         doubtful = Doubtful(lexicon_rows)
 
         def goes_on(text: str, room: float, first: str, lang: str | None) -> tuple[bool, bool]:
@@ -614,13 +592,13 @@ def corrections(doubtful: DataFrame, lexicon: DataFrame, rows: list[tuple[str, s
     return misreadings.rank(pairs, misreadings.train_ranker(rows))
 
 
-def _read(text_lines: DataFrame, scan_pages: DataFrame, books: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The lines, what is to say of the edges of partitions, and (page_id, line_id, lang, token, word, score) of misread words."""
+def _read(text_lines: DataFrame, scan_pages: DataFrame, books: DataFrame, lexicon: DataFrame):
+    """The lines, what is to say of the edges of partitions, and (page_id, line_id, lang, token, word, score) of misread words; and the models."""
     shared = models(text_lines, scan_pages, books, lexicon)
     lines = cut(read_lines(lines_in_order(text_lines, scan_pages, books), shared))
     edges = edge_pairs(lines, shared)
     doubtful = doubtful_tokens(lines, edges)
-    return lines, edges, doubtful.join(corrections(doubtful, lexicon, shared.value[0]), ["lang", "token"])
+    return lines, edges, doubtful.join(corrections(doubtful, lexicon, shared.value[0]), ["lang", "token"]), shared
 
 
 def line_fixes(fixes: DataFrame) -> DataFrame:
@@ -636,7 +614,7 @@ def find_noise(text_lines: DataFrame, scan_pages: DataFrame, books: DataFrame, l
     and a page of unknown language has no words to be broken or misread. Of equally
     likely replacements the first in order is taken.
     """
-    lines, edges, fixes = _read(text_lines, scan_pages, books, lexicon)
+    lines, edges, fixes, _ = _read(text_lines, scan_pages, books, lexicon)
     misread = fixes.select("page_id", "line_id").distinct()
     kinds = [
         lines.filter("furniture").select("page_id", "line_id", F.lit("furniture").alias("kind")),
@@ -700,15 +678,14 @@ def repaired_words(words: DataFrame, text_lines: DataFrame, scan_pages: DataFram
     A word is repaired as its line is: by the replacements that :func:`find_noise` finds
     there, so parts of broken words and words of furniture stay. Null and empty words stay.
     """
-    _, _, fixes = _read(text_lines, scan_pages, books, lexicon)
+    _, _, fixes, shared = _read(text_lines, scan_pages, books, lexicon)
     langs = books.select("book_id", "lang")
     rows = words.select("page_id", "book_id", "line_id", "word_id", "word_str").filter("word_str <> ''").distinct()
     rows = rows.join(line_fixes(fixes), ["page_id", "line_id"]).join(langs, "book_id", "left").drop("book_id")
-    shared = lexicon.sparkSession.sparkContext.broadcast(read_lexicon(lexicon))
     names = ["page_id", "line_id", "word_id", "word_str", "repaired"]
 
     def run(batches):
-        consistent = Consistent(shared.value)
+        consistent = shared.value[3]
         for batch in batches:
             out = []
             for r in batch.to_pylist():
@@ -735,7 +712,7 @@ def paragraphs(text_lines: DataFrame, scan_pages: DataFrame, books: DataFrame, l
     are joined as they stream by. Furniture is left out, broken words are joined,
     misread ones replaced, look-alikes plain.
     """
-    lines, edges, fixes = _read(text_lines, scan_pages, books, lexicon)
+    lines, edges, fixes, _ = _read(text_lines, scan_pages, books, lexicon)
     fixes = line_fixes(fixes)
     cut_off = edges.filter("kind = 'broken'").select("page_id", "line_id", F.lit(True).alias("edge_broken"))
     rows = lines.filter("NOT furniture AND text <> ''").join(fixes, ["page_id", "line_id"], "left").join(cut_off, ["page_id", "line_id"], "left")

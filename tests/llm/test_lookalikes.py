@@ -84,3 +84,19 @@ def test_p2_query_on_whole_small_tables(spark):
                 if isinstance(c.char_str, str) and c.char_str != "".join(points[slice(*pieces[c.char_id])]):
                     want.add((*key, c.char_id))
     assert set(map(tuple, rows)) == want
+
+
+def test_fit_on_held_out_words(spark):
+    lexicon = lookalikes.read_lexicon(spark.read.parquet(f"{SF_SMALL}/lexicon.parquet"))
+    fitted = Consistent(lexicon[::2])
+    rows = fitted.examples(lexicon[1::2], random.Random(5))
+    right = sum(fitted.form(seen, lang) == word for seen, lang, word in rows)
+    assert len(rows) > 500 and right / len(rows) > 0.9
+    assert fitted.page_script("ru") == "Cyrillic" and fitted.page_script(None) == "Latin"
+
+
+def test_lattice_holds_every_reading_and_the_script_comes_from_the_lexicon():
+    assert lookalikes.readings("ӏ")["Latin"] == ["l", "I"] and lookalikes.readings("o")["Greek"] == ["ο"]
+    greek = Consistent([(w, "el") for w in "ο νόμος και η τιμή".split()] + LEXICON)
+    assert greek.page_script("el") == "Greek" and greek.form("νόμoς", "el") == "νόμος"
+    assert C.form("Ulmgоr", "en") == "Ulmgor" and C.form("Uӏmgоr", "en") == "Ulmgor"
