@@ -25,8 +25,10 @@ from glyphmill.operators.arrow_map import append_columns
 
 #: Encodings in which UTF-8 bytes may have been read, the likelier first.
 READ_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r"]
-#: A span of Chinese characters counts as UTF-8 read in GBK from this many bytes on: shorter well-formed spans arise by chance.
-MIN_GBK_BYTES = 12
+#: How much likelier (natural logarithm) a reading must be than what is shown: damage is rarer than sound text.
+GBK_ODDS = 7.0
+#: The same for words in one of two Cyrillic sets, in letters times the gain of :func:`_russian`.
+SWAPPED_GAIN = 2.7
 
 _NONE = "\ufffe"  # stands for a character without a byte
 
@@ -148,13 +150,24 @@ def _utf8_spans(codec: str, text: str) -> list[tuple[int, int, str]]:
 _WIDE_RUN = re.compile("[¤-￥\U000e0000-\U0010ffff\x80]+[\x20-\x7e]?")
 
 
+def _ideograph(c: str) -> float:
+    """Log probability of a character of Chinese text, by its place in the set: common, less common, or neither."""
+    try:
+        lead = c.encode("gb2312")[0]
+    except UnicodeEncodeError:
+        return -14.2 if c != "\ufffd" else -7.0  # one in a hundred, of 15,000
+    if lead >= 0xD8:
+        return -10.4  # one in eleven, of 3,008
+    return -8.3 if lead >= 0xB0 else -6.5  # nine in ten, of 3,755; signs
+
+
 def _gbk_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _WIDE_RUN.finditer(text):
         start, run = m.start(), m.group()
         # most runs hold no span at all: look at the run as a whole first
         whole = run.replace("\ufffd", "\x7f").encode("gb18030", "replace").decode("latin-1")
-        if not any(s.end() - s.start() >= MIN_GBK_BYTES or len(run) <= 4 for s in _UTF8.finditer(whole)):
+        if not _UTF8.search(whole):
             continue
         data, ends = bytearray(), []
         for c in run:
@@ -169,13 +182,16 @@ def _gbk_spans(text: str) -> list[tuple[int, int, str]]:
             decoded = s.group().encode("latin-1").decode("utf-8")
             hanzi = sum("一" <= c <= "鿿" or c in "、。" for c in decoded)
             latin = all(0xC0 <= ord(c) <= 0x17F or 0x2013 <= ord(c) <= 0x2026 or c in "£§©°±¶¿·½×" for c in decoded)
-            if not (b1 - b0 >= MIN_GBK_BYTES and hanzi >= 0.9 * len(decoded)) and not (latin and _latin_context(text, start, start + len(run))):
-                continue
             # whole characters only: a span may begin or end within one
             i0 = next((i for i in range(len(ends)) if (ends[i - 1] if i else 0) >= b0), None)
             i1 = max((i + 1 for i in range(len(ends)) if ends[i] <= b1), default=0)
             if i0 is None or i1 <= i0:
                 continue
+            if hanzi >= 0.9 * len(decoded):  # the longer the span, the surer
+                if sum(map(_ideograph, decoded)) < sum(map(_ideograph, run[i0:i1])) + GBK_ODDS:
+                    continue
+            elif not (latin and _latin_context(text, start, start + len(run))):
+                continue
             piece = bytes(data[(ends[i0 - 1] if i0 else 0) : ends[i1 - 1]])
             out.append((start + i0, start + i1, piece.decode("utf-8", "replace")))
     return out
@@ -314,7 +330,7 @@ def _swapped_cyrillic(text: str) -> list[tuple[int, int, str]]:
         if sum(len(f[2]) for f in found) > sum(len(f[2]) for f in out):
             out = found
     # one short word may be chance
-    return out if len(out) >= 2 or sum(len(f[2]) for f in out) >= 7 else []
+    return out if sum(len(new) * (_russian(text[a:b]) - _russian(new)) for a, b, new in out) >= SWAPPED_GAIN else []
 
 
 def _apply(text: str, spans: list[tuple[int, int, str]]) -> str:

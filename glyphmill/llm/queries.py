@@ -90,6 +90,16 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of p7_pack, in one row: all texts are placed whole, no container is overfull, no pieces overlap, no text is divided that fits."""
+    placed = cut(p7_pack(spark, folder))
+    boxes = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("fill"), F.max(F.col("at") + F.col("n_tokens")).alias("top"))
+    texts = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("reach"))
+    bad = boxes.agg(F.count_if(F.col("fill") > packing.CAPACITY).alias("overfull"), F.count_if(F.col("fill") != F.col("top")).alias("overlapping"))
+    divided = (F.col("pieces") > 1) & (F.col("n") <= packing.CAPACITY)
+    return texts.agg(F.count("*").alias("texts"), F.count_if(divided).alias("divided_early"), F.count_if(F.col("n") != F.col("reach")).alias("incomplete")).crossJoin(bad)
+
+
 def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     """The affected documents, repaired where they can be, and what was undone."""
     docs = mojibake.find_damage(table(spark, folder, "documents").select("doc_id", "text"))
@@ -111,6 +121,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p6_ids": p6_ids,
     "p7_pack": p7_pack,
+    "p7_check": p7_check,
     "p8_found": p8_found,
     "p8_restored": p8_restored,
 }

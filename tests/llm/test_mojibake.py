@@ -2,6 +2,7 @@
 
 import pytest
 
+from glyphmill.llm import mojibake
 from glyphmill.llm.mojibake import find_damage, restore
 
 GERMAN = "Die Prüfung verkürzt die Lücke, und der Schlüssel schließt das Gehäuse."
@@ -84,3 +85,12 @@ def test_operator_defined_cases(spark):
     assert [rows[i].affected for i in range(1, 6)] == [False, False, False, True, False]
     assert rows[4].restored == GERMAN and rows[1].restored is None and rows[2].restored == ""
     assert find_damage(df.limit(0)).count() == 0
+
+
+def test_short_spans_are_judged_by_how_likely_they_are():
+    shown = "\u4f60\u597d".encode("utf-8").decode("gbk")  # two ideographs shown as three
+    assert mojibake.restore(f"12 {shown} 34")[1] == "12 \u4f60\u597d 34"
+    # common ideographs stay, whatever their bytes
+    assert mojibake.restore("\u76ee\u5f55 \u7684\u4e00\u662f\u4e0d\u4e86")[0] is False
+    one = "\u0437\u0430\u043f\u0438\u0441\u0438".encode("koi8-r").decode("cp1251")  # one word of six letters
+    assert mojibake.restore(f"98. {one} 248")[0]
