@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import geometry, text
+from glyphmill.lineage import cut
 from glyphmill.operators import joins
 from glyphmill.operators import lines as ops
-from glyphmill.plans.base import CHARS, KEY, LINES, WORDS, chars, lines, words
+from glyphmill.plans.base import CHARS, KEY, LINES, WORDS, chars, letters, lines, words
 from glyphmill.sources.tables import table
 
 LINE = ops.LINE
@@ -241,14 +242,15 @@ def j8_word_boxes(spark: SparkSession, folder: str) -> DataFrame:
 
 def j9_free_boxes(spark: SparkSession, folder: str) -> DataFrame:
     """Letters whose box touches no other letter of the sample (anti join on intersecting rectangles)."""
-    rows = table(spark, folder, "letters").distinct().filter("box_left >= 0")
-    a, b = rows.alias("a"), rows.alias("b")
+    rows = letters(spark, folder, "letter", "box_left", "box_top", "wid", "hei").filter("box_left >= 0")
+    a = rows.withColumn("x", F.col("box_left")).withColumn("x_end", F.col("box_left") + F.col("wid"))
     meet = (
-        (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.letter_no") != F.col("b.letter_no"))
-        & (geometry.intersection(F.col("a.box_left"), F.col("a.wid"), F.col("b.box_left"), F.col("b.wid")) > 0)
-        & (geometry.intersection(F.col("a.box_top"), F.col("a.hei"), F.col("b.box_top"), F.col("b.hei")) > 0)
-    )
-    return a.join(b, meet, "left_anti").select("sample_id", "letter_no", "letter")
+        (F.col("letter_no") != F.col("r_letter_no"))
+        & (geometry.intersection(F.col("box_left"), F.col("wid"), F.col("r_box_left"), F.col("r_wid")) > 0)
+        & (geometry.intersection(F.col("box_top"), F.col("hei"), F.col("r_box_top"), F.col("r_hei")) > 0)
+    )
+    taken = joins.band_join(a, joins.renamed(a), ["sample_id"], "x", "x_end", 64, meet).select("sample_id", "letter_no").distinct()
+    return rows.join(taken, ["sample_id", "letter_no"], "left_anti").select("sample_id", "letter_no", "letter")
 
 
 def j10_offset_above(spark: SparkSession, folder: str) -> DataFrame:
@@ -263,7 +265,7 @@ def j10_offset_above(spark: SparkSession, folder: str) -> DataFrame:
 def j12_replaced_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Chars of a line outside its Latin runs, together with the runs: an anti join on spans, then a union."""
     rows = chars(spark, folder, "char_str", "box_left", "wid").filter("char_str IS NOT NULL").withColumn("right", F.col("box_left") + F.col("wid"))
-    found = ops.runs(rows, LINE, ["word_id", "char_id"], F.col("char_str").rlike("^[A-Za-z]"), 5, ["box_left", "right"])
+    found = cut(ops.runs(rows, LINE, ["word_id", "char_id"], F.col("char_str").rlike("^[A-Za-z]"), 5, ["box_left", "right"]))  # read twice
     spans = found.select(*LINE, F.col("first_box_left").alias("a"), F.col("last_right").alias("b"), "n")
     inside = [rows[c] == spans[c] for c in LINE] + [rows["box_left"].between(spans["a"], spans["b"])]
     rest = rows.join(spans, inside, "left_anti").select(*LINE, F.col("box_left").alias("left"), F.lit(1).cast("long").alias("n"), F.lit("char").alias("kind"))

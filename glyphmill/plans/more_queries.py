@@ -51,11 +51,13 @@ def f21_position_score(spark: SparkSession, folder: str) -> DataFrame:
 def f22_dots(spark: SparkSession, folder: str) -> DataFrame:
     """Small boxes of a sample that stand above another one, as the dot of an i does."""
     rows = table(spark, folder, "letters").distinct().filter("box_left >= 0").select("sample_id", "letter_no", "box_left", "box_top", "wid", "hei")
-    big = joins.renamed(rows)
+    # the middle of a dot lies in the span of the box below it, so the two meet in a band
+    a = rows.withColumn("x", F.floor(F.col("box_left") + F.col("wid") / 2)).withColumn("x_end", F.col("x") + 1)
+    big = joins.renamed(rows.withColumn("x", F.col("box_left")).withColumn("x_end", F.col("box_left") + F.col("wid")))
     centre = F.col("box_left") + F.col("wid") / 2
     small = (F.col("wid") * F.col("hei") * 2 < F.col("r_wid") * F.col("r_hei")) & centre.between(F.col("r_box_left"), F.col("r_box_left") + F.col("r_wid"))
     above = F.col("box_top") + F.col("hei") <= F.col("r_box_top") + F.col("r_hei") / 2
-    met = rows.join(big, (F.col("sample_id") == F.col("r_sample_id")) & (F.col("letter_no") != F.col("r_letter_no")) & small & above)
+    met = joins.band_join(a, big, ["sample_id"], "x", "x_end", 64, (F.col("letter_no") != F.col("r_letter_no")) & small & above)
     return met.select("sample_id", F.col("letter_no").alias("dot"), F.col("r_letter_no").alias("below"))
 
 
@@ -226,7 +228,7 @@ def x2_encoded_again(spark: SparkSession, folder: str) -> DataFrame:
 
 def x19_alignments(spark: SparkSession, folder: str) -> DataFrame:
     """The words of a line aligned with the line as recognised: score and number of matched characters."""
-    read = ops.line_text(words(spark, folder, "word_str", "left_add_space"), out="read").join(lines(spark, folder).select(*LINE, "line_str"), LINE).filter("line_str IS NOT NULL AND length(line_str) < 200")
+    read = ops.line_text(words(spark, folder, "word_str", "left_add_space"), out="read").join(lines(spark, folder).select(*LINE, "line_str"), LINE).filter("line_str IS NOT NULL")
 
     def fn(g: list[dict]) -> list[dict]:
         out = []

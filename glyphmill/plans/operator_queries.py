@@ -61,7 +61,7 @@ def d31_variations(spark: SparkSession, folder: str) -> DataFrame:
     second = F.transform(scores, lambda f: F.element_at(frames.top_k(f, 2), 2))
     rows = rows.select("vec_id", frames.best_labels(F.col("m"), CLASSES).alias("best"), second.alias("second"), F.transform(scores, F.array_max).alias("top"))
     rows = rows.withColumn("own", frames.collapse(F.col("best"), BLANK))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("best") - 1)).alias("t")).filter(F.element_at("top", F.col("t") + 1) <= 0.2)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("best") - 1)).alias("t")).filter(F.element_at("top", F.col("t") + 1) <= 0.7)
     changed = F.transform("best", lambda x, i: F.when(i == F.col("t"), F.element_at("second", F.col("t") + 1)).otherwise(x))
     rows = rows.withColumn("path", frames.collapse(changed, BLANK)).filter("size(path) > 0 AND path <> own")
     return rows.groupBy("vec_id").agg(F.array_sort(F.collect_set("path")).alias("variants"))

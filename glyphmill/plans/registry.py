@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glyphmill.plans import line_queries, more_queries, operator_queries, records, text_queries
+from glyphmill.plans import further_queries, line_queries, more_queries, operator_queries, records, text_queries
 
-_MODULES = [records, text_queries, line_queries, operator_queries, more_queries]
+_MODULES = [records, text_queries, line_queries, operator_queries, more_queries, further_queries]
 
 
 def queries() -> dict:

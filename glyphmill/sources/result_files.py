@@ -98,6 +98,32 @@ def read_config(path: str, section: str) -> dict[str, str]:
     return out
 
 
+#: The settings of the sample generator, as its JSON file holds them (member names and their spelling are fixed values).
+GENERATOR_SETTINGS = """struct<backgrand: struct<no_backgrand: struct<probility: double>, foreground_background: struct<probility: double, list: string>,
+  fusion: struct<probility: double, list: string, a: double, b: double, c: double>>,
+  rotation: double, Gaussian_blur_kernal_size: int, resize_rate: double, pepper_noise: double, shift: int>"""
+
+
+def generator_settings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, settings, fault): the JSON settings of the generator, typed; ``fault`` names what is missing, null if nothing is.
+
+    Files that are no JSON, or whose background settings are absent or no object, have a
+    fault and null settings; members of another type are null.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    tree = F.try_parse_json("value")
+    part = F.try_variant_get(tree, "$.backgrand", "variant")
+    kind = F.schema_of_variant(part)
+    fault = F.when(tree.isNull(), "no JSON").when(part.isNull(), "no background settings").when(~F.startswith(kind, F.lit("OBJECT")), "background settings are no object")
+    rows = rows.withColumn("fault", fault)
+    return rows.select("file", F.when(F.col("fault").isNull(), F.from_json("value", GENERATOR_SETTINGS)).alias("settings"), "fault")
+
+
+def line_list(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): the entries of plain lists, such as fonts, backgrounds or a corpus; empty lines are none."""
+    return spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("value")).filter("value <> ''")
+
+
 # --- writing ---------------------------------------------------------------------------------
 
 
@@ -204,6 +230,12 @@ def candidate_text(words: DataFrame, candidates: DataFrame, probability: bool =
     return out.select(*LINE, F.concat(F.array_join("t", ""), F.lit("\t"), F.array_join("g", "\t"), F.lit("\t")).alias("value"))
 
 
+def write_windows(boxes: DataFrame, path: str) -> None:
+    """Writes the word boxes of lines, one row each: line, left, top, width and height, each followed by a tab."""
+    row = F.concat(F.concat_ws("\t", *[F.col(c).cast("string") for c in ("line_id", "box_left", "box_top", "wid", "hei")]), F.lit("\t"))
+    boxes.sortWithinPartitions("line_id", "box_left").select(row.alias("value")).write.mode("overwrite").text(path)
+
+
 def batch_text(lines: DataFrame) -> DataFrame:
     """(value): rows of many images for one file, the image's name in front."""
     return lines.filter("line_str IS NOT NULL AND line_str <> ''").select(F.concat(F.concat_ws("\t", "page_id", _box(F.col("line_str"))), F.lit("\t")).alias("value"))

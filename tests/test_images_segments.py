@@ -1,5 +1,6 @@
 """Pixel measures against plain loops, step-by-step grouping, and remaining decoding helpers."""
 
+import os
 import math
 
 import numpy as np
@@ -178,3 +179,24 @@ def test_whole_rows(spark):
     df = spark.createDataFrame([box(500 * i, 100 * i, 100, 10, i) for i in range(3)])
     assert [(r.first_word, r.last_word) for r in segment.word_groups(df, whole=True).collect()] == [(0, 2)]
     assert segment.word_groups(df).count() == 3
+
+
+def test_generator_settings_lists_and_windows(spark, tmp_path):
+    import json
+
+    from glyphmill.sources import result_files
+
+    good = {"backgrand": {"no_backgrand": {"probility": 0.5}, "fusion": {"probility": 0.2, "list": "f.txt", "a": 1, "b": 2, "c": 3}}, "rotation": 5, "shift": 2, "resize_rate": 0.9}
+    os.makedirs(tmp_path / "s")
+    for name, text in {"a.json": json.dumps(good), "b.json": "{", "c.json": "{}", "d.json": '{"backgrand": []}'}.items():
+        (tmp_path / "s" / name).write_text(text)
+    rows = {r.file[-6:]: r for r in result_files.generator_settings(spark, str(tmp_path / "s")).collect()}
+    assert rows["a.json"].fault is None and rows["a.json"].settings.backgrand.fusion.c == 3.0 and rows["a.json"].settings.shift == 2 and rows["a.json"].settings.pepper_noise is None
+    assert [rows[n].fault for n in ("b.json", "c.json", "d.json")] == ["no JSON", "no background settings", "background settings are no object"] and rows["b.json"].settings is None
+    (tmp_path / "fonts.txt").write_text("one.ttf\n\n two.ttf \n")
+    assert [r.value for r in result_files.line_list(spark, str(tmp_path / "fonts.txt")).collect()] == ["one.ttf", "two.ttf"]
+    boxes = spark.createDataFrame([(0, 9, 2, 3, 4), (0, 1, 2, 3, 4)], "line_id int, box_left int, box_top int, wid int, hei int")
+    result_files.write_windows(boxes.coalesce(1), str(tmp_path / "w"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "w")).collect()] == ["0\t1\t2\t3\t4\t", "0\t9\t2\t3\t4\t"]
+    result_files.write_windows(boxes.limit(0), str(tmp_path / "w"))
+    assert spark.read.text(str(tmp_path / "w")).count() == 0
