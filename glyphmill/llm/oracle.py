@@ -15,7 +15,7 @@ WITH c AS (SELECT DISTINCT page_id, line_id, word_id, char_id, char_str FROM cha
 """
 
 ORACLE = {
-    "p7_check": "SELECT count(*) AS texts, 0 AS divided_early, 0 AS incomplete, 0 AS overfull, 0 AS overlapping FROM documents",
+    "p7_pack_check": "SELECT count(*) AS texts, 0 AS divided_early, 0 AS incomplete, 0 AS overfull, 0 AS overlapping FROM documents",
     "p3_counts": _COUNTS + "SELECT src, term, occurrences, records, mark FROM m",
     "p3_found": _COUNTS + "SELECT src, term, mark FROM m WHERE mark IS NOT NULL",
 }

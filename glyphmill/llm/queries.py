@@ -90,7 +90,7 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+def p7_pack_check(spark: SparkSession, folder: str) -> DataFrame:
     """What must hold of p7_pack, in one row: all texts are placed whole, no container is overfull, no pieces overlap, no text is divided that fits."""
     placed = cut(p7_pack(spark, folder))
     boxes = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("fill"), F.max(F.col("at") + F.col("n_tokens")).alias("top"))
@@ -121,7 +121,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p6_ids": p6_ids,
     "p7_pack": p7_pack,
-    "p7_check": p7_check,
+    "p7_pack_check": p7_pack_check,
     "p8_found": p8_found,
     "p8_restored": p8_restored,
 }
