@@ -16,6 +16,7 @@ empty and blank texts are not affected. A narrow operation without a shuffle.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -147,9 +148,14 @@ def _utf8_spans(codec: str, text: str) -> list[tuple[int, int, str]]:
 
 # --- UTF-8 read in a two-byte set ------------------------------------------------------------
 
+#: A lead byte of UTF-8 is shown as one of these, whatever byte follows.
+_IDEOGRAPH = re.compile("[\u3400-\u9fff\ue000-\ufaff\U00020000-\U0010ffff]")
+#: Without such a sequence no ideograph can come out.
+_THREE_BYTES = re.compile("[\xe3-\xe9][\x80-\xbf]{2}")
 _WIDE_RUN = re.compile("[¤-￥\U000e0000-\U0010ffff\x80]+[\x20-\x7e]?")
 
 
+@lru_cache(30_000)
 def _ideograph(c: str) -> float:
     """Log probability of a character of Chinese text, by its place in the set: common, less common, or neither."""
     try:
@@ -163,11 +169,15 @@ def _ideograph(c: str) -> float:
 
 def _gbk_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
+    if not _IDEOGRAPH.search(text):
+        return out
     for m in _WIDE_RUN.finditer(text):
         start, run = m.start(), m.group()
+        if not _IDEOGRAPH.search(run):
+            continue
         # most runs hold no span at all: look at the run as a whole first
         whole = run.replace("\ufffd", "\x7f").encode("gb18030", "replace").decode("latin-1")
-        if not _UTF8.search(whole):
+        if not _THREE_BYTES.search(whole) and not _latin_context(text, start, start + len(run)):
             continue
         data, ends = bytearray(), []
         for c in run:
