@@ -207,12 +207,11 @@ def j2_shared_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j3_votes(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of a recogniser with the votes of two others that read the same text on the page."""
-    rows = words(spark, folder, "word_str", "prob")
-    split = F.col("word_id") % 3
-    m1 = rows.filter(split == 0).select(*KEY, "word_str", "prob")
-    m2 = rows.filter(split == 1).select("page_id", "word_str").distinct().withColumn("v2", F.lit(True))
-    m3 = rows.filter(split == 2).select("page_id", "word_str").distinct().withColumn("v3", F.lit(True))
+    """Words with the votes of two other readings of their page that hold the same text: its lines, cut at blanks, and its chars, put together."""
+    m1 = words(spark, folder, "word_str", "prob").filter("word_str IS NOT NULL").select(*KEY, "word_str", "prob")
+    m2 = lines(spark, folder, "line_str").select("page_id", F.explode(F.split("line_str", " ")).alias("word_str")).distinct().withColumn("v2", F.lit(True))
+    spelled = chars(spark, folder, "char_str").filter("char_str IS NOT NULL").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("char_id", "char_str"))).alias("cells"))
+    m3 = spelled.select("page_id", F.array_join(F.transform("cells", lambda x: x["char_str"]), "").alias("word_str")).distinct().withColumn("v3", F.lit(True))
     out = m1.join(m2, ["page_id", "word_str"], "left").join(m3, ["page_id", "word_str"], "left")
     v2, v3 = F.coalesce("v2", F.lit(False)), F.coalesce("v3", F.lit(False))
     vote = F.when(v2 & v3, 0.3).when(v2 | v3, 0.1).otherwise(-0.3)
@@ -220,8 +219,8 @@ def j3_votes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j5_overlapping_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of chars of a line whose boxes overlap by more than a quarter of both widths (band join)."""
-    rows = chars(spark, folder, "box_left", "wid").select("page_id", "line_id", "word_id", "char_id", "box_left", "wid", (F.col("box_left") + F.col("wid") - 1).alias("box_right"))
+    """Pairs of chars of a line whose boxes overlap by more than a quarter of both widths (band join); they are drawn twice as wide here, so that neighbours do."""
+    rows = chars(spark, folder, "box_left", "wid").withColumn("wid", F.col("wid") * 2).select("page_id", "line_id", "word_id", "char_id", "box_left", "wid", (F.col("box_left") + F.col("wid") - 1).alias("box_right"))
     right = joins.renamed(rows)
     overlap = geometry.intersection(F.col("box_left"), F.col("wid"), F.col("r_box_left"), F.col("r_wid"))
     before = (F.col("word_id") < F.col("r_word_id")) | ((F.col("word_id") == F.col("r_word_id")) & (F.col("char_id") < F.col("r_char_id")))
@@ -430,11 +429,14 @@ ORACLE = {
       SELECT page_id, line_id, grp, first(lc_type) AS lc_type, count(*) AS n, coalesce(string_agg(word_str, '' ORDER BY word_id), '') AS joined FROM g GROUP BY page_id, line_id, grp""",
     "j2_shared_labels": f"""WITH {CHARS}, c AS (SELECT DISTINCT char_str, lang FROM ch JOIN books b ON b.book_id = ch.book_id WHERE char_str IS NOT NULL)
       SELECT char_str FROM c WHERE lang = 'zh' AND char_str IN (SELECT char_str FROM c WHERE lang = 'en')""",
-    "j3_votes": f"""WITH {WORDS}, v AS (SELECT w.*, EXISTS (SELECT 1 FROM w b WHERE b.word_id % 3 = 1 AND b.page_id = w.page_id AND b.word_str = w.word_str) AS v2, EXISTS (SELECT 1 FROM w c WHERE c.word_id % 3 = 2 AND c.page_id = w.page_id AND c.word_str = w.word_str) AS v3 FROM w WHERE word_id % 3 = 0)
+    "j3_votes": f"""WITH {WORDS}, {LINES}, {CHARS}, m2 AS (SELECT DISTINCT page_id, unnest(string_split(line_str, ' ')) AS s FROM ln WHERE line_str IS NOT NULL),
+      m3 AS (SELECT DISTINCT page_id, s FROM (SELECT page_id, line_id, word_id, string_agg(char_str, '' ORDER BY char_id) AS s FROM ch WHERE char_str IS NOT NULL GROUP BY ALL)),
+      v AS (SELECT *, (page_id, word_str) IN (SELECT (page_id, s) FROM m2) AS v2, (page_id, word_str) IN (SELECT (page_id, s) FROM m3) AS v3 FROM w WHERE word_str IS NOT NULL)
       SELECT page_id, line_id, word_id, word_str, round(prob + CASE WHEN v2 AND v3 THEN 0.3::DOUBLE WHEN v2 OR v3 THEN 0.1::DOUBLE ELSE -0.3::DOUBLE END, 6) AS score FROM v""",
-    "j5_overlapping_words": f"""WITH {CHARS} SELECT a.page_id, a.line_id, a.word_id, a.char_id, b.word_id AS other_word, b.char_id AS other_char, a.wid + b.wid - (greatest(a.box_left + a.wid, b.box_left + b.wid) - least(a.box_left, b.box_left)) AS overlap
-      FROM ch a JOIN ch b ON a.page_id = b.page_id AND a.line_id = b.line_id AND (a.word_id < b.word_id OR (a.word_id = b.word_id AND a.char_id < b.char_id))
-      WHERE a.wid + b.wid - (greatest(a.box_left + a.wid, b.box_left + b.wid) - least(a.box_left, b.box_left)) > (a.wid + b.wid) / 4.0""",
+    "j5_overlapping_words": f"""WITH {CHARS}, c AS (SELECT page_id, line_id, word_id, char_id, box_left, wid * 2 AS wid FROM ch), s AS (SELECT *, unnest(range(box_left // 256, (box_left + wid) // 256 + 1)) AS band FROM c)
+      SELECT DISTINCT a.page_id, a.line_id, a.word_id, a.char_id, b.word_id AS other_word, b.char_id AS other_char, a.wid + b.wid - (greatest(a.box_left + a.wid, b.box_left + b.wid) - least(a.box_left, b.box_left)) AS overlap
+      FROM s a JOIN s b ON a.page_id = b.page_id AND a.line_id = b.line_id AND a.band = b.band WHERE (a.word_id < b.word_id OR (a.word_id = b.word_id AND a.char_id < b.char_id))
+        AND a.wid + b.wid - (greatest(a.box_left + a.wid, b.box_left + b.wid) - least(a.box_left, b.box_left)) > (a.wid + b.wid) / 4.0""",
     "j8_word_boxes": f"""WITH {WORDS}, {LINES}, p AS (SELECT w.page_id, w.line_id, w.word_id, w.wid + b.wid - (greatest(w.box_left + w.wid, b.box_left + b.wid) - least(w.box_left, b.box_left)) AS ow,
       w.hei + b.hei - (greatest(w.box_top + w.hei, b.box_top + b.hei) - least(w.box_top, b.box_top)) AS oh, w.wid * w.hei + b.wid * b.hei AS area FROM w JOIN ln b ON w.page_id = b.page_id),
       s AS (SELECT *, CASE WHEN ow < 0 OR oh < 0 THEN 0.0 ELSE CAST(ow * oh AS DOUBLE) / area END AS score FROM p) SELECT page_id, line_id, word_id, count(*) AS boxes, round(max(score), 6) AS best FROM s WHERE score > 0.01 GROUP BY ALL""",

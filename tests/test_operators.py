@@ -334,3 +334,18 @@ def test_candidates_that_differ_at_both_ends(spark):
             near = sorted((distance(w.lower(), x), x) for x in lexicon if distance(w.lower(), x) <= 2)[:5]
             want |= {(i, x) for d, x in near if d}
     assert {(r.word_id, r.text) for r in rows} == want and {(0, "completes"), (1, "under"), (2, "near")} <= want
+
+
+def test_queries_without_sql_keep_their_invariants(spark):
+    from glyphmill.plans import further_queries, operator_queries
+    from tests.conftest import SF_SMALL
+
+    q = further_queries.QUERIES
+    lines = operator_queries.lines(spark, SF_SMALL).count()
+    turned = q["o3_turned_pages"](spark, SF_SMALL).groupBy("direction").count().collect()
+    assert {(r["direction"], r["count"]) for r in turned} == {(d, lines) for d in (1, 2, 3)}
+    all_words = {(r.page_id, r.line_id, r.word_id) for r in operator_queries.words(spark, SF_SMALL).collect()}
+    kept = [tuple(r) for r in q["j6_suppressed_equal_text"](spark, SF_SMALL).collect()]
+    assert len(set(kept)) == len(kept) and set(kept) < all_words
+    boxes = q["f23_row_boxes"](spark, SF_SMALL).collect()
+    assert boxes and len({(r.sample_id, r.letter_no) for r in boxes}) == len(boxes) and all(r.wid > 0 and r.hei > 0 for r in boxes)
