@@ -336,12 +336,11 @@ class Consistent:
     def _fit(self, lexicon: list[tuple[str, str]]) -> None:
         """Weights by an averaged perceptron over the paths of respelled words; those whose truth is no path teach nothing."""
         rng = random.Random(17)
-        rows = self.examples(lexicon, rng)
+        rows = [(self.candidates(seen, lang), truth) for seen, lang, truth in self.examples(lexicon, rng)]  # paths by the first weights
         weights, total, steps = list(self.weights), [0.0] * len(self.weights), 0
         for _ in range(FIT_ROUNDS):
             rng.shuffle(rows)
-            for seen, lang, truth in rows:
-                paths = self.candidates(seen, lang)
+            for paths, truth in rows:
                 right = next((f for way, f in paths if way == truth), None)
                 if right is None:
                     continue
